@@ -184,72 +184,97 @@ def depth_needed(points: DataFrame, p: int, side: float, leaf: int = LEAF) -> in
 def _adjacent(key: str, g: int) -> Column:
     """The 3^g cells around the leading coordinates of a key."""
     cells = [
-        F.array(*[F.col(key)[j] + F.lit(o).cast("long") for j, o in enumerate(off)])
+        "array(" + ", ".join(f"{key}[{j}] + {o}L" for j, o in enumerate(off)) + ")"
         for off in itertools.product((-1, 0, 1), repeat=g)
     ]
-    return F.explode(F.array(*cells))
+    return F.expr("explode(array(" + ", ".join(cells) + "))")
 
 
-def ball_join(
-    queries: DataFrame,
-    points: DataFrame,
-    p: int,
-    radius: float,
-    aggs: dict[str, tuple[str, str]],
-) -> DataFrame:
-    """Aggregate, for every query, the points within ``radius`` (inclusive).
-
-    ``queries(_q, x0..)``, ``points(x0.., value columns)`` with distinct coordinates.
-    ``aggs`` maps an output name to (``sum`` | ``min``, value column).
+class BallIndex:
+    """Points summarised by nested grid cells, for aggregates over balls of one radius.
 
-    Points are summarised by nested grid cells. A cell wholly inside the ball contributes its
-    aggregate without being opened, a cell outside is dropped, and only cells crossing the
-    boundary are refined, down to leaves of at most LEAF points. Work per query follows the ball's
-    surface, not its content, so dense cells do not turn into pairs.
+    ``points(x0.., value columns)`` have distinct coordinates; ``aggs`` maps an output name to
+    (``sum`` | ``min``, value column). A cell wholly inside a ball contributes its aggregate without
+    being opened, a cell outside is dropped, and only cells crossing the boundary are replaced by
+    their children, down to leaves of at most LEAF points. Work per query follows the ball's
+    surface, not its content, so dense cells do not turn into pairs. ``store`` writes the cell
+    tables once for repeated queries.
     """
-    fold = {"sum": F.sum, "min": F.min}
-    node_aggs = {k: fold[how](col) for k, (how, col) in aggs.items()}
-    r2 = F.lit(float(radius) ** 2)
-    last = depth_needed(points, p, radius)
-    g = min(p, GRID_DIMS)
-    q = [F.col(f"q{j}") for j in range(p)]
-    names = list(aggs)
-
-    def classify(d: DataFrame) -> DataFrame:
-        lo, hi = [F.col(f"lo{j}") for j in range(p)], [F.col(f"hi{j}") for j in range(p)]
-        return (
-            d.withColumn("near", box_near_sq(q, q, lo, hi))
-            .filter(F.col("near") <= r2)
-            .withColumn("inside", box_far_sq(q, q, lo, hi) <= r2)
-        )
 
-    qs = queries.select("_q", *[F.col(f"x{j}").alias(f"q{j}") for j in range(p)])
-    home = F.array(*[F.floor(F.col(f"q{j}") * F.lit(1.0 / radius)).cast("long") for j in range(g)])
-    top = grid_nodes(points, p, radius, 0, node_aggs)
-    around = top.select("*", _adjacent("key", g).alias("coarse"))
-    state = classify(qs.withColumn("coarse", home).join(around, "coarse").drop("coarse"))
-    parts = []
-    for level in range(last + 1):
-        parts.append(state.filter("inside").select("_q", *names))
-        edge = state.filter("not inside").select("_q", *[f"q{j}" for j in range(p)], "key", "cnt")
-        small = edge if level == last else edge.filter(F.col("cnt") <= LEAF)
-        pts = points.select(
-            grid_key(p, radius, level).alias("key"),
-            *[f"x{j}" for j in range(p)],
-            *[F.col(c).alias(k) for k, (_, c) in aggs.items()],
-        )
-        hit = small.join(pts, "key").filter(
-            squared_distance(q, [F.col(f"x{j}") for j in range(p)]) <= r2
+    def __init__(self, points: DataFrame, p: int, radius: float, aggs: dict[str, tuple[str, str]], store: bool = False):
+        self.p, self.radius = p, float(radius)
+        fold = {"sum": F.sum, "min": F.min}
+        self.fold = {k: fold[how] for k, (how, _) in aggs.items()}
+        node_aggs = {k: fold[how](col) for k, (how, col) in aggs.items()}
+        box = [f"{t}{j}" for j in range(p) for t in ("lo", "hi")]
+        fields = ["key", *box, *aggs]
+        last = depth_needed(points, p, radius, LEAF)
+        nodes = [grid_nodes(points, p, radius, level, node_aggs) for level in range(last + 1)]
+        # children[l]: what stands in for an opened cell of level l, keyed by that cell (`up`):
+        # its sub-cells, or its points as boxes of no extent.
+        self.children = []
+        for level in range(last + 1):
+            leaves = points.select(
+                grid_key(p, radius, level).alias("up"),
+                F.array(*[F.lit(None).cast("long")] * p).alias("key"),
+                *[F.col(f"x{j}").alias(f"{t}{j}") for j in range(p) for t in ("lo", "hi")],
+                *[F.col(c).alias(k) for k, (_, c) in aggs.items()],
+            )
+            if level < last:
+                full = nodes[level].filter(F.col("cnt") > LEAF).select(F.col("key").alias("up"))
+                cells = nodes[level + 1].select(_parent("key").alias("up"), *fields)
+                kids = cells.join(full, "up", "left_semi").unionByName(leaves.join(full, "up", "left_anti"))
+            else:
+                kids = leaves
+            self.children.append(
+                kids.selectExpr(
+                    "up", "true as open", "-1L as salt", "true as hit",
+                    *[f"{c} as k_{c}" for c in ["key", *box, *aggs]],
+                )
+            )
+        self.around = nodes[0].select(*fields, _adjacent("key", min(p, GRID_DIMS)).alias("coarse"))
+        if store:
+            self.around = cut(self.around)
+            self.children = [cut(c) for c in self.children]
+
+    def query(self, queries: DataFrame, carry: bool = False) -> DataFrame:
+        """Aggregate, for every query ``(_q, x0..)``, the points within the radius (inclusive).
+
+        ``carry`` keeps the query's coordinates as q0.. in the result. One chain of joins: a row is a
+        (query, cell) pair; settled rows pass through each level, open ones become their children.
+        """
+        p, names = self.p, list(self.fold)
+        qn = [f"q{j}" for j in range(p)]
+        box = [f"{t}{j}" for j in range(p) for t in ("lo", "hi")]
+        r2 = f"{self.radius**2!r}D"
+        sides = range(p)
+        near = " + ".join(f"pow(greatest(0D, lo{j} - q{j}, q{j} - hi{j}), 2)" for j in sides)
+        far = " + ".join(f"pow(greatest(hi{j} - q{j}, q{j} - lo{j}), 2)" for j in sides)
+        home = ", ".join(f"cast(floor(x{j} * {1.0 / self.radius!r}D) as bigint)" for j in range(min(p, GRID_DIMS)))
+        state = (
+            queries.selectExpr("_q", f"array({home}) as coarse", *[f"x{j} as q{j}" for j in sides])
+            .join(self.around, "coarse")
+            .selectExpr("_q", *qn, "key", *box, *names, f"{far} <= {r2} as inside")
+            .filter(f"inside or {near} <= {r2}")
         )
-        parts.append(hit.select("_q", *names))
-        if level < last:
-            big = edge.filter(F.col("cnt") > LEAF).withColumnRenamed("key", "up").drop("cnt")
-            nxt = grid_nodes(points, p, radius, level + 1, node_aggs).withColumn("up", _parent("key"))
-            state = classify(big.join(nxt, "up").drop("up"))
-    every = parts[0]
-    for part in parts[1:]:
-        every = every.unionByName(part)
-    return every.groupBy("_q").agg(*[fold[how](k).alias(k) for k, (how, _) in aggs.items()])
+        for kids in self.children:
+            # Settled rows carry their query id as salt: they match nothing and stay spread out.
+            left = state.selectExpr(
+                "*", "key as up", "if(inside, _q, -1L) as salt", "not inside as open"
+            )
+            state = (
+                left.join(kids, ["up", "open", "salt"], "left")
+                .selectExpr("_q", *qn, *[f"if(hit, k_{c}, {c}) as {c}" for c in ["key", *box, *names]], "inside")
+                .filter(f"inside or {near} <= {r2}")
+                .selectExpr("_q", *qn, "key", *box, *names, f"inside or {far} <= {r2} as inside")
+            )
+        keys = ["_q", *(qn if carry else [])]
+        return state.groupBy(*keys).agg(*[fold(k).alias(k) for k, fold in self.fold.items()])
+
+
+def ball_join(queries: DataFrame, points: DataFrame, p: int, radius: float, aggs: dict[str, tuple[str, str]]) -> DataFrame:
+    """One-off :class:`BallIndex` query."""
+    return BallIndex(points, p, radius, aggs).query(queries)
 
 
 def eps_degree(df: DataFrame, id_col: str, cols: Sequence[str], eps: float) -> DataFrame:

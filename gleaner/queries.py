@@ -529,7 +529,7 @@ def cl_mean_shift(spark, sf):
 
 def mean_shift_step(spark, sf):
     d = cut(tiles.collapse(R.part_scaled(spark, sf), "p_partkey", R.PART_COLS))
-    s = density.mean_shift_step(d.withColumnRenamed("_id", "_q"), d, 2, 0.5)
+    s = density.mean_shift_step(d.withColumnRenamed("_id", "_q"), density.shift_index(d, 2, 0.5))
     return s.select(F.col("_q").alias("p_partkey"), F.col("n").cast("long").alias("n"), r6(F.col("x0")).alias("x0"), r6(F.col("x1")).alias("x1"))
 
 

@@ -67,7 +67,9 @@ def test_random_features_are_close(mixed):
     d, cols, x = mixed
     cut, generic, fixed = dense_spec(x)
     assert np.abs(scores(S.normalized_cut(d, "id", cols, "rff")) - cut).max() < 0.05
-    assert np.abs(scores(S.fixed_spec(d, "id", cols, 3, "rff")) - fixed).max() < 0.2
+    # One eigenvector: the later ones lie close together and mix under approximation.
+    one = dense_spec(x, 2)[2]
+    assert np.abs(scores(S.fixed_spec(d, "id", cols, 2, "rff")) - one).max() < 0.1
 
 
 def test_copied_columns_score_alike(mixed):

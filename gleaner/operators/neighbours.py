@@ -16,10 +16,11 @@ from .tiles import METRICS, block_count, distance_matrix, exact_distance, featur
 
 PRUNE_FROM_BLOCKS = 12
 PRUNE_MAX_COLUMNS = 16
-MAX_BLOCK_TABLE = 200_000
+MAX_BOX_CELLS = 50_000_000  # block boxes shipped for pruning; beyond it every tile is visited
 GRID_DIMS = 3
 LEAF = 64
-MAX_LEVEL = 40
+SPLIT = 6
+MAX_LEVEL = 200
 
 
 # ---------------------------------------------------------------- k nearest neighbours
@@ -82,8 +83,6 @@ def _pruned_partners(pts: DataFrame, p: int, k: int, metric: str) -> DataFrame:
         )
     )
     table = boxes.toPandas()  # one row per block
-    if len(table) > MAX_BLOCK_TABLE:
-        raise ValueError(f"{len(table)} blocks: raise the block size")
     ids = table["_b"].to_numpy()
     lo, hi = np.stack(table["lo"]), np.stack(table["hi"])
     shared = pts.sparkSession.sparkContext.broadcast((ids, lo, hi))
@@ -119,7 +118,12 @@ def knn(
     reps = cut(rows.withColumn("_rn", rank).filter(F.col("_rn") <= k + 1))
     n = reps.count()
     blocks = block_count(df, n)
-    prune = metric != "cosine" and p <= PRUNE_MAX_COLUMNS and blocks >= PRUNE_FROM_BLOCKS
+    prune = (
+        metric != "cosine"
+        and p <= PRUNE_MAX_COLUMNS
+        and blocks >= PRUNE_FROM_BLOCKS
+        and blocks * (2 * p + 2) <= MAX_BOX_CELLS
+    )
     if prune:
         placed = cut(
             reps.withColumn("_z", _z_key(reps, p))
@@ -148,14 +152,25 @@ def knn(
 # ---------------------------------------------------------------- radius joins on nested grids
 
 
+def _halvings(p: int, level: int) -> list[int]:
+    """How often each column has been halved at a level: at most SPLIT columns per level, in turn."""
+    done = level * min(SPLIT, p)
+    return [done // p + (j < done % p) for j in range(p)]
+
+
 def grid_key(p: int, side: float, level: int) -> Column:
-    """Cell of the nested grid: side halves per level, so the parent is the key shifted right."""
-    scale = 2.0**level / side
-    return F.array(*[F.floor(F.col(f"x{j}") * F.lit(scale)).cast("long") for j in range(p)])
+    """Cell of the nested grid. A cell has at most 2^SPLIT children, whatever the column count."""
+    cells = [
+        f"cast(floor(x{j} * {2.0**h / side!r}D) as bigint)" for j, h in enumerate(_halvings(p, level))
+    ]
+    return F.expr("array(" + ", ".join(cells) + ")")
 
 
-def _parent(key: str) -> Column:
-    return F.transform(F.col(key), lambda v: F.shiftright(v, 1))
+def _parent(key: str, p: int, level: int) -> Column:
+    """Key one level up, of a key at ``level``: halved columns are shifted right."""
+    now, before = _halvings(p, level), _halvings(p, level - 1)
+    cells = [f"shiftright({key}[{j}], {a - b})" if a > b else f"{key}[{j}]" for j, (a, b) in enumerate(zip(now, before))]
+    return F.expr("array(" + ", ".join(cells) + ")")
 
 
 def grid_nodes(points: DataFrame, p: int, side: float, level: int, aggs: dict[str, Column]) -> DataFrame:
@@ -222,7 +237,7 @@ class BallIndex:
             )
             if level < last:
                 full = nodes[level].filter(F.col("cnt") > LEAF).select(F.col("key").alias("up"))
-                cells = nodes[level + 1].select(_parent("key").alias("up"), *fields)
+                cells = nodes[level + 1].select(_parent("key", p, level + 1).alias("up"), *fields)
                 kids = cells.join(full, "up", "left_semi").unionByName(leaves.join(full, "up", "left_anti"))
             else:
                 kids = leaves
@@ -357,7 +372,7 @@ def cell_links(core: DataFrame, p: int, eps: float) -> tuple[DataFrame, DataFram
         big = open_.filter(~few)
         if big.isEmpty():
             break
-        nodes = grid_nodes(owned, p, side, level + 1, {}).withColumn("up", _parent("key"))
+        nodes = grid_nodes(owned, p, side, level + 1, {}).withColumn("up", _parent("key", p, level + 1))
         na = side_of(nodes.drop("cell"), "a_").join(
             nodes.select(F.col("key").alias("a_key"), F.col("up").alias("a_up")), "a_key"
         )

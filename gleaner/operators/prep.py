@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..functions.numeric import name, unpivot
 from ..sources.spec import TableSpec
+from .outliers import remove_outliers
 
 MAX_LEVELS = 10_000
 WIDE = 32
@@ -154,7 +155,7 @@ def prepare(
     keys: Sequence[str] = (),
     threshold: int | None = None,
     unknown: str = "error",
-    outliers=None,
+    outliers="dummy",
 ) -> DataFrame:
     """The full preparation: clean, drop, encode, truncate, standardise, remove outliers."""
     spec.check(df)
@@ -166,7 +167,7 @@ def prepare(
             raise ValueError("truncation needs key columns: Spark rows have no file order")
         coded = truncate(coded, keys, threshold)
     out = standardise(coded, keys=keys)
-    return outliers(out) if outliers else out
+    return remove_outliers(out, outliers)
 
 
 def project_selected(matrix: DataFrame, keys: Sequence[str], selected: Sequence[str]) -> DataFrame:

@@ -248,11 +248,11 @@ def mcfs(
 ) -> DataFrame:
     """Largest absolute regression coefficient over the bottom eigenvectors of the kNN graph."""
     vec, lam, _ = knn_embedding(df, id_col, cols, clusters, p, sigma, seed=seed)
-    ys = [f"v{i}" for i in range(len(lam))]
-    if skip_trivial:
-        ys = ys[1:]
-    joined = cut(vec.join(df.withColumn("id", name(id_col).cast("long")), "id"))
-    coef = regression_coefficients(joined, cols, ys, mode, alpha)
+    x, ys = [f"x{i}" for i in range(len(cols))], [f"v{i}" for i in range(len(lam))]
+    rows = df.select(
+        name(id_col).cast("long").alias("id"), *[name(c).cast("double").alias(xi) for c, xi in zip(cols, x)]
+    )
+    coef = regression_coefficients(cut(vec.join(rows, "id")), x, ys[1:] if skip_trivial else ys, mode, alpha)
     return score_table(df.sparkSession, cols, np.abs(coef).max(1))
 
 

@@ -596,9 +596,9 @@ def kmeans_inertia(spark, sf):
 
 def flagship(spark, sf):
     """Prepare lineitem, cluster it, score the clustering: one leaderboard row."""
-    m = R.line_matrix(spark, sf)
-    labelled = cut(cluster.kmeans(m.drop("label"), "row_id", R.LINE_COLS, 5))
-    scored = m.drop("label").join(labelled.withColumnRenamed("id", "row_id"), "row_id")
+    m = R.line_matrix(spark, sf).drop("label")
+    vec = km.vectors(m, R.LINE_COLS, ["row_id", *R.LINE_COLS])
+    scored = cut(km.fit(vec, 5).label(vec))
     db, _ = measures.score("davies_bouldin", scored, "row_id", R.LINE_COLS, "label")
     ch, raw = measures.score("calinski_harabasz", scored, "row_id", R.LINE_COLS, "label")
     return spark.createDataFrame(

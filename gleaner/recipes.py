@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .operators import prep
 from .operators.order import with_row_id
+from .session import cut
 from .sources.spec import TableSpec
 
 LINEITEM = TableSpec(
@@ -80,7 +81,7 @@ def line_matrix(spark: SparkSession, sf: str) -> DataFrame:
     """lineitem rows under dense row numbers: (l_orderkey, l_linenumber) is not unique."""
     key = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate"]
     d = with_row_id(line_scaled(spark, sf), key)
-    return d.select("row_id", *LINE_COLS, F.col("l_linenumber").cast("long").alias("label"))
+    return cut(d.select("row_id", *LINE_COLS, F.col("l_linenumber").cast("long").alias("label")))
 
 
 def event_history(spark: SparkSession, sf: str) -> DataFrame:

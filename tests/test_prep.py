@@ -137,11 +137,11 @@ def test_generators(spark):
 
 
 def test_corpus(spark, tmp_path):
-    sweep = synth.sweep_table(spark, counts={"blobs": 1, "circles": 1, "clf": 1, "moons": 1})
-    assert sweep.count() == 4 and synth.sweep_table(spark).count() == 850
+    sweep = synth.sweep_table(spark, counts={"blobs": 1, "circles": 1, "clf": 0, "moons": 1})
+    assert sweep.count() == 3 and synth.sweep_table(spark).count() == 850
     catalog = synth.write_corpus(spark, str(tmp_path), sweep)
     rows = catalog.collect()
-    assert len(rows) == 4
+    assert len(rows) == 3
     by = {r["dataset"]: r for r in sweep.collect()}
     for r in rows:
         d = S.load_table(spark, TableSpec.from_row(r), str(tmp_path))
@@ -188,3 +188,13 @@ def test_constant_column_statistics(spark):
     assert {r["feature"]: r["value"] for r in profile.column_statistic(d, ["x", "c"], F.skewness).collect()}["c"] is None
     corr = {(r["i"], r["j"]): r["corr"] for r in profile.pair_table(d, ["x", "c"]).collect()}
     assert corr[(0, 0)] == pytest.approx(1.0) and corr[(0, 1)] is None and corr[(1, 1)] is None
+
+
+def test_outlier_methods_are_identity(spark):
+    from gleaner.operators.outliers import METHODS, remove_outliers
+
+    d = spark.range(5)
+    assert all(remove_outliers(d, m) is d for m in METHODS)
+    assert remove_outliers(d, lambda x: x.filter("id < 2")).count() == 2
+    with pytest.raises(ValueError):
+        remove_outliers(d, "other")

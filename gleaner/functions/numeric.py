@@ -14,7 +14,7 @@ SUMMARIES = ("min", "max", "median", "mean", "first_quartile", "third_quartile")
 
 def name(col: str) -> Column:
     """Reference a column whose name may hold dots, blanks or brackets."""
-    return F.col("`" + col.replace("`", "``") + "`")
+    return F.col(quoted(col))
 
 
 def r6(col: Column) -> Column:
@@ -66,7 +66,11 @@ def finite(value: Column) -> Column:
     return F.when(~bad, value)
 
 
+def quoted(col: str) -> str:
+    """The column name as SQL text. Wide projections are written as SQL: one call per column."""
+    return "`" + col.replace("`", "``") + "`"
+
+
 def unpivot(df, columns: Sequence[str], key: str, value: str, keep=()):
     """Wide to long: one row per (kept columns, column name, value)."""
-    pairs = F.array(*[F.struct(F.lit(c).alias(key), name(c).alias(value)) for c in columns])
-    return df.select(*keep, F.explode(pairs).alias("_kv")).select(*keep, f"_kv.{key}", f"_kv.{value}")
+    return df.unpivot([quoted(k) for k in keep], [quoted(c) for c in columns], key, value)

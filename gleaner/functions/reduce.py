@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from .numeric import name
+from .numeric import quoted
 
 
 def sum_vectors(
@@ -29,7 +29,7 @@ def sum_vectors(
             yield pd.DataFrame({"pos": np.arange(len(acc)), "val": acc})
 
     rows = (
-        df.select(*[name(c).cast("double").alias(f"c{i}") for i, c in enumerate(cols)])
+        df.selectExpr(*[f"cast({quoted(c)} as double) as c{i}" for i, c in enumerate(cols)])
         .mapInPandas(fold, "pos long, val double")
         .groupBy("pos")
         .agg(F.sum("val").alias("val"))
@@ -71,9 +71,9 @@ def grouped_scatter(df: DataFrame, cols: Sequence[str], label: str, max_labels:
     k = df.select(label).distinct().limit(max_labels + 1).count()
     if k * size > 50_000_000 or k > max_labels:
         raise ValueError(f"{k} labels x {p} columns is too large for a driver-side scatter")
-    long = df.select(
-        F.col(label).cast("long").alias("lab"),
-        *[name(c).cast("double").alias(f"c{i}") for i, c in enumerate(cols)],
+    long = df.selectExpr(
+        f"cast({quoted(label)} as bigint) as lab",
+        *[f"cast({quoted(c)} as double) as c{i}" for i, c in enumerate(cols)],
     ).mapInPandas(fold, "lab long, pos long, val double")
     pdf = long.groupBy("lab", "pos").agg(F.sum("val").alias("val")).toPandas()
     out = {}

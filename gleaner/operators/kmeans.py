@@ -9,15 +9,15 @@ from pyspark.ml.clustering import BisectingKMeans, KMeans
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.numeric import name
+from ..functions.numeric import name, quoted
 
 
 def vectors(df: DataFrame, cols: Sequence[str], keep: Sequence[str] = (), scale=None) -> DataFrame:
     """``keep`` columns and one vector column ``_v`` of the (optionally scaled) features."""
     scale = [1.0] * len(cols) if scale is None else list(scale)
-    plain = df.select(
-        *[name(c) for c in keep],
-        *[(name(c).cast("double") * F.lit(float(w))).alias(f"_x{i}") for i, (c, w) in enumerate(zip(cols, scale))],
+    plain = df.selectExpr(
+        *[quoted(c) for c in keep],
+        *[f"cast({quoted(c)} as double) * {float(w)!r}D as _x{i}" for i, (c, w) in enumerate(zip(cols, scale))],
     )
     asm = VectorAssembler(inputCols=[f"_x{i}" for i in range(len(cols))], outputCol="_v")
     return asm.transform(plain).select(*[name(c) for c in keep], "_v")

@@ -9,7 +9,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from ..functions.numeric import name, unpivot
+from ..functions.numeric import name, quoted, unpivot
 from ..sources.spec import TableSpec
 from .outliers import remove_outliers
 
@@ -105,13 +105,15 @@ def moments(df: DataFrame, cols: Sequence[str]) -> dict[str, tuple[float, float]
     if not cols:
         return {}
     if len(cols) <= WIDE:
-        aggs = []
-        for i, c in enumerate(cols):
-            aggs += [F.avg(name(c)).alias(f"m{i}"), F.stddev_pop(name(c)).alias(f"s{i}")]
+        aggs = [
+            F.expr(f"{fn}({quoted(c)}) as {t}{i}")
+            for i, c in enumerate(cols)
+            for t, fn in (("m", "avg"), ("s", "stddev_pop"))
+        ]
         row = df.agg(*aggs).first()
         return {c: (row[f"m{i}"], row[f"s{i}"]) for i, c in enumerate(cols)}
     # Wide tables: one aggregate over (column, value) pairs, combined before the exchange of p rows.
-    long = unpivot(df.select(*[name(c).cast("double").alias(c) for c in cols]), cols, "c", "x")
+    long = unpivot(df.selectExpr(*[f"cast({quoted(c)} as double) as {quoted(c)}" for c in cols]), cols, "c", "x")
     rows = long.groupBy("c").agg(F.avg("x").alias("m"), F.stddev_pop("x").alias("s")).collect()
     by = {r["c"]: (r["m"], r["s"]) for r in rows}
     return {c: by.get(c, (None, None)) for c in cols}
@@ -123,15 +125,16 @@ def standardise(df: DataFrame, cols: Sequence[str] | None = None, keys: Sequence
     stats = moments(df, cols)
     out = []
     for c in df.columns:
+        col = quoted(c)
         if c not in stats:
-            out.append(name(c))
+            out.append(col)
             continue
         mean, sd = stats[c]
         if not sd:
-            out.append(F.when(name(c).isNotNull(), F.lit(0.0)).alias(c))
+            out.append(f"if({col} is null, null, 0D) as {col}")
         else:
-            out.append(((name(c) - F.lit(mean)) / F.lit(sd)).alias(c))
-    return df.select(*out)
+            out.append(f"({col} - ({float(mean)!r}D)) / {float(sd)!r}D as {col}")
+    return df.selectExpr(*out)
 
 
 def impute_mean(df: DataFrame, cols: Sequence[str]) -> DataFrame:

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 import numpy as np
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from ..functions.numeric import finite, name, r6, summarise, total, unpivot
+from ..functions.numeric import finite, name, quoted, r6, summarise, total, unpivot
 from ..functions.reduce import gram
 from ..sources.spec import TableSpec
 from .prep import impute_mean, moments
@@ -129,8 +129,9 @@ def kurtosis(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 def covariance_matrix(df: DataFrame, cols: Sequence[str]) -> np.ndarray:
     """Sample covariance, one pass over centred rows for wide tables (p x p reaches the driver)."""
     means = moments(df, cols)
-    n = df.filter(" and ".join(f"`{c}` is not null" for c in cols)).count()
-    centred = df.select(*[(name(c) - F.lit(means[c][0])).alias(f"x{i}") for i, c in enumerate(cols)])
+    full = df.filter(" and ".join(f"{quoted(c)} is not null" for c in cols))
+    n = full.count()
+    centred = full.selectExpr(*[f"{quoted(c)} - ({float(means[c][0])!r}D) as x{i}" for i, c in enumerate(cols)])
     return gram(centred, centred.columns) / max(n - 1, 1)
 
 

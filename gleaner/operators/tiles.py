@@ -14,7 +14,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.numeric import name
+from ..functions.numeric import name, quoted
 
 BLOCK_ROWS = 4096
 MIN_BLOCK_ROWS = 256
@@ -119,13 +119,17 @@ def tile_apply(
     )
 
 
+def _as_x(cols: Sequence[str]) -> list[str]:
+    """SQL projections of feature columns to x0..xp-1."""
+    return [f"cast({quoted(c)} as double) as x{i}" for i, c in enumerate(cols)]
+
+
 def collapse(df: DataFrame, id_col: str, cols: Sequence[str], extra: Sequence[str] = ()) -> DataFrame:
     """Merge identical rows: ``_id`` (smallest id), ``_w`` (copies), extra columns, x0..xp-1.
 
     A value that a third of all rows share becomes one weighted row before any pairing.
     """
-    x = [name(c).cast("double").alias(f"x{i}") for i, c in enumerate(cols)]
-    slim = df.select(name(id_col).alias("_id"), *[name(e) for e in extra], *x)
+    slim = df.selectExpr(f"{quoted(id_col)} as _id", *[quoted(e) for e in extra], *_as_x(cols))
     keys = [*extra, *[f"x{i}" for i in range(len(cols))]]
     return slim.groupBy(*keys).agg(
         F.min("_id").alias("_id"), F.count(F.lit(1)).cast("double").alias("_w")
@@ -208,11 +212,7 @@ def pair_distance_means(
     means = sums.join(sizes, "other").select("_id", "other", (F.col("dist") / F.col("m")).alias("mean_dist"))
     # Give every copy of a merged row its result back.
     x = [f"x{i}" for i in range(len(cols))]
-    rows = df.select(
-        name(id_col).alias("id"),
-        name(label).cast("long").alias("label"),
-        *[name(c).cast("double").alias(xi) for c, xi in zip(cols, x)],
-    )
+    rows = df.selectExpr(f"{quoted(id_col)} as id", f"cast({quoted(label)} as bigint) as label", *_as_x(cols))
     owner = rows.join(pts.select("_id", "label", *x), ["label", *x]).select("id", "_id")
     return owner.join(means, "_id").select("id", "other", "mean_dist")
 
@@ -224,6 +224,6 @@ def rbf_degree(df: DataFrame, id_col: str, cols: Sequence[str], gamma: float | N
     blocks = block_count(df, pts.count())
     deg = kernel_sums(hash_blocks(pts, "_id", blocks), p, "rbf", gamma or 1.0 / p, ["_w"], blocks)
     x = [f"x{i}" for i in range(p)]
-    rows = df.select(name(id_col).alias("id"), *[name(c).cast("double").alias(xi) for c, xi in zip(cols, x)])
+    rows = df.selectExpr(f"{quoted(id_col)} as id", *_as_x(cols))
     owner = rows.join(pts.select("_id", *x), x).select("id", "_id")
     return owner.join(deg, "_id").select("id", F.col("_w").alias("degree"))

@@ -51,9 +51,8 @@ def line(spark: SparkSession, sf: str) -> DataFrame:
 def wide_raw(spark: SparkSession, sf: str) -> DataFrame:
     """embeddings as columns e0..e63."""
     e = table(spark, sf, "embeddings")
-    return e.select(
-        "vec_id", F.col("label").cast("long").alias("label"),
-        *[F.col("embedding")[i].cast("double").alias(c) for i, c in enumerate(WIDE)],
+    return e.selectExpr(
+        "vec_id", "cast(label as bigint) as label", *[f"cast(embedding[{i}] as double) as {c}" for i, c in enumerate(WIDE)]
     )
 
 

@@ -243,7 +243,7 @@ class BallIndex:
                 kids = leaves
             self.children.append(
                 kids.selectExpr(
-                    "up", "true as open", "-1L as salt", "true as hit",
+                    "up", "true as open", "true as hit",
                     *[f"{c} as k_{c}" for c in ["key", *box, *aggs]],
                 )
             )
@@ -273,12 +273,12 @@ class BallIndex:
             .filter(f"inside or {near} <= {r2}")
         )
         for kids in self.children:
-            # Settled rows carry their query id as salt: they match nothing and stay spread out.
+            # Settled rows take their query id as key: they match nothing and stay spread out.
             left = state.selectExpr(
-                "*", "key as up", "if(inside, _q, -1L) as salt", "not inside as open"
+                "*", "if(inside, array(cast(_q as bigint)), key) as up", "not inside as open"
             )
             state = (
-                left.join(kids, ["up", "open", "salt"], "left")
+                left.join(kids, ["up", "open"], "left")
                 .selectExpr("_q", *qn, *[f"if(hit, k_{c}, {c}) as {c}" for c in ["key", *box, *names]], "inside")
                 .filter(f"inside or {near} <= {r2}")
                 .selectExpr("_q", *qn, "key", *box, *names, f"inside or {far} <= {r2} as inside")

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.numeric import name, quoted
 
-BLOCK_ROWS = 4096
+BLOCK_ROWS = 2048  # a tile then holds a few dozen megabytes of distances
 MIN_BLOCK_ROWS = 256
 
 # Accepted spellings of the distance measures.

@@ -70,7 +70,7 @@ O["load_roles"] = " UNION ALL ".join(
     for c, r in _roles
 )
 O["pending_datasets"] = """SELECT c_custkey AS dataset, c_mktsegment FROM customer
-WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)"""
+WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')"""
 
 
 def _curve(outer: tuple[str, str], inner: tuple[str, str], t: str) -> str:

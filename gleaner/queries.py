@@ -37,9 +37,10 @@ def load_roles(spark, sf):
 
 
 def pending_datasets(spark, sf):
-    """Customers are the catalog, customers with an order are finished."""
+    """Customers are the catalog, customers with an urgent order are finished."""
     catalog = R.table(spark, sf, "customer").select(F.col("c_custkey").alias("dataset"), "c_mktsegment")
-    done = R.table(spark, sf, "orders").select(F.col("o_custkey").alias("dataset"))
+    urgent = R.table(spark, sf, "orders").filter(F.col("o_orderpriority") == "1-URGENT")
+    done = urgent.select(F.col("o_custkey").alias("dataset"))
     return store.pending(catalog, done)
 
 

@@ -2,32 +2,32 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
 import uuid
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 
-_local_scratch: list[str] = []
-
-
 def _shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names for checkpoints; a temporary one only on a single machine."""
+    """The folder the cluster names for checkpoints; where none is named, one inside the warehouse, which is shared too."""
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if shared:
-        return shared
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError(
-            "set spark.checkpoint.dir to a folder every executor can read: "
-            "iterative operators cut their lineage there"
-        )
-    if not _local_scratch:
-        _local_scratch.append(tempfile.mkdtemp(prefix="gleaner-"))
-        atexit.register(shutil.rmtree, _local_scratch[0], ignore_errors=True)
-    return _local_scratch[0]
+    return shared or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
+
+
+_own: dict[str, str] = {}
+
+
+def _scratch(spark: SparkSession) -> str:
+    """This application's own folder; the file system deletes it when the driver's JVM ends."""
+    app = spark.sparkContext.applicationId
+    if app not in _own:
+        path = f"{_shared_folder(spark).rstrip('/')}/gleaner/{app}"
+        hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+        fs = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
+        fs.mkdirs(hadoop)
+        fs.deleteOnExit(hadoop)
+        _own[app] = path
+    return _own[app]
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -38,8 +38,7 @@ def cut(df: DataFrame) -> DataFrame:
     rounds of a loop until planning dominates).
     """
     spark = df.sparkSession
-    folder = _shared_folder(spark).rstrip("/")
-    path = f"{folder}/gleaner/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    path = f"{_scratch(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -4,13 +4,25 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import simhash
+from . import decontaminate as decon, simhash
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, bench = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    found = decon.matches(docs, "doc_id", "text", bench, "item_id", "text")
+    ids = F.array_sort(F.transform("items", lambda x: x.cast("string")))
+    hit = decon.n_covered("spans")
+    return found.select(
+        F.col("id").alias("doc_id"), "n_words", hit.alias("n_hit"), F.size("items").cast("bigint").alias("n_items"),
+        F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"), (hit > 0).alias("contaminated"),
+        "spans",
+    )
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = simhash.near_duplicates(docs, "doc_id", "text", shingle=4, radius=4, seed=42)
@@ -18,5 +30,8 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), hexed.alias("fingerprint"), "component_id")
 
 
-QUERIES = {"op6_simhash": op6_simhash}
+QUERIES = {
+    "op1_decontaminate": op1_decontaminate,
+    "op6_simhash": op6_simhash,
+}
 ORACLES: dict[str, str] = {}

@@ -22,40 +22,22 @@ import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import cut
-from .common import (
-    Ranges, WordHashes, column_type, gram_hashes, map_rows, raw_text, runs_of, signed, small_side, union_spans, winnow,
-)
+from .common import Ranges, WordHashes, column_type, map_rows, signed
+from .repeats import keyed, open_classes, place, rewrite, seeds_and_classes, unite, window_runs, with_texts
 
 LENGTH = 20
 GRAM = 6
 
 
-def runs(h: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of windows with one anchor: (anchor hash, first window start, last window start)."""
-    grams = gram_hashes(h, gram)
-    if len(h) < length:
-        none = np.empty(0, np.int64)
-        return np.empty(0, np.uint64), none, none
-    picked = winnow(grams, length - gram + 1)
-    first, last = runs_of(picked)
-    return grams[picked[first]], first, last
-
-
-def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, _row, text bytes): a row is known by its id and a hash of its text, so ids may repeat."""
-    return docs.select(F.col(id_col).alias("id"), F.hash(text_col).alias("_row"), raw_text(text_col).alias("_text"))
-
-
 def spans_of_repeats(docs: DataFrame, id_col: str, text_col: str, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """(id, _row, spans): word spans covered by a window that also starts earlier; only rows that have some."""
-    keyed = _keyed(docs, id_col, text_col)
-    kind = column_type(docs, id_col)
+    rows, kind = keyed(docs, id_col, text_col), column_type(docs, id_col)
 
-    def anchors_of(rows: Iterable[tuple]) -> Iterator[tuple]:
+    def anchors(rows: Iterable[tuple]) -> Iterator[tuple]:
         hashes = WordHashes()
         for key, row, text in rows:
             h = hashes.array(text.split())
-            anchor, first, last = runs(h, length, gram)
+            anchor, first, last = window_runs(h, length, gram)
             if len(first):
                 reach = Ranges(h)(first, last + length)
                 yield from zip(
@@ -63,55 +45,25 @@ def spans_of_repeats(docs: DataFrame, id_col: str, text_col: str, length: int =
                     first.tolist(), (last - first + 1).tolist(),
                 )
 
-    schema = f"anchor bigint, reach bigint, id {kind}, _row int, start int, windows int"
-    found = map_rows(keyed, schema, anchors_of)
-    counts = found.groupBy("anchor").count().filter("count > 1").select("anchor")
-    seeds = cut(found.join(counts, "anchor"))
-
-    place = F.struct(F.col("id").alias("id"), F.col("_row").alias("_row"), F.col("start").alias("start"))
-    classes = cut(
-        seeds.groupBy("anchor", "reach").agg(
-            F.min(place).alias("least"), F.count(F.lit(1)).alias("n"), F.first("windows").alias("windows")
-        )
-    )
+    found = map_rows(rows, f"anchor bigint, reach bigint, id {kind}, _row int, start int, windows int", anchors)
+    seeds, classes = seeds_and_classes(found)
     # Whole runs that an earlier run equals.
     shared = classes.filter("n > 1").select("anchor", "reach", "least")
-    own = F.struct("id", "_row", "start")
     whole = (
         seeds.join(shared, ["anchor", "reach"])
-        .filter(~own.eqNullSafe(F.col("least")))
+        .filter(~place().eqNullSafe(F.col("least")))
         .select("id", "_row", "start", (F.col("start") + F.col("windows") - 1 + length).alias("end"))
     )
-    # First runs of their class, where the anchor has several classes.
-    several = classes.groupBy("anchor").count().filter("count > 1").select("anchor")
-    open_runs = cut(
-        classes.join(several, "anchor").select("anchor", "least.id", "least._row", "least.start", "windows")
-    )
-    extended = _extend(keyed, open_runs, kind, length, gram)
-    pieces = cut(whole.unionByName(extended).distinct())
-
-    per_doc = pieces.groupBy("id", "_row").agg(F.collect_list(F.struct("start", "end")).alias("pieces"))
+    return unite(whole.unionByName(_extend(rows, open_classes(classes), kind, length)), kind)
 
-    def unite(rows: Iterable[tuple]) -> Iterator[tuple]:
-        for key, row, held in rows:
-            yield key, row, [{"start": a, "end": b} for a, b in union_spans((x["start"], x["end"]) for x in held)]
 
-    return map_rows(per_doc, f"id {kind}, _row int, spans array<struct<start: int, end: int>>", unite)
-
-
-def _extend(keyed: DataFrame, open_runs: DataFrame, kind: str, length: int, gram: int) -> DataFrame:
-    """(id, _row, start, end): windows of the open runs whose words on both sides of the anchor also occur earlier."""
-    lists = cut(
-        open_runs.groupBy("id", "_row").agg(F.collect_list(F.struct("anchor", "start", "windows")).alias("runs"))
-    )
-    texts = keyed.join(small_side(lists.select("id", "_row")), _same(keyed, lists), "left_semi")
-    both = texts.join(lists, _same(texts, lists)).select(texts["id"], texts["_row"], "runs", "_text")
+def _extend(docs: DataFrame, runs: DataFrame, kind: str, length: int) -> DataFrame:
+    """(id, _row, start, end): windows of the runs whose words on both sides of the anchor also occur earlier."""
 
     def windows(rows: Iterable[tuple]) -> Iterator[tuple]:
         hashes = WordHashes()
         for key, row, held, text in rows:
-            h = hashes.array(text.split())
-            ranges = Ranges(h)
+            ranges = Ranges(hashes.array(text.split()))
             start = np.concatenate([np.arange(x["start"], x["start"] + x["windows"]) for x in held])
             anchor = np.repeat([x["anchor"] for x in held], [x["windows"] for x in held])
             # Equal words give equal anchors at equal distance: the window's hash stands for both of its sides.
@@ -120,18 +72,14 @@ def _extend(keyed: DataFrame, open_runs: DataFrame, kind: str, length: int, gram
                 [key] * len(start), [row] * len(start), start.tolist(),
             )
 
-    spread = map_rows(both, f"anchor bigint, side bigint, id {kind}, _row int, start int", windows)
-    spread = cut(spread)
-    place = F.struct("id", "_row", "start")
-    first = spread.groupBy("anchor", "side").agg(F.min(place).alias("least"), F.count(F.lit(1)).alias("n"))
-    later = spread.join(first.filter("n > 1").drop("n"), ["anchor", "side"]).filter(~place.eqNullSafe(F.col("least")))
+    schema = f"anchor bigint, sides bigint, id {kind}, _row int, start int"
+    spread = cut(map_rows(with_texts(docs, runs), schema, windows))
+    first = spread.groupBy("anchor", "sides").agg(F.min(place()).alias("least"), F.count(F.lit(1)).alias("n"))
+    later = spread.join(first.filter("n > 1").drop("n"), ["anchor", "sides"])
+    later = later.filter(~place().eqNullSafe(F.col("least")))
     return later.select("id", "_row", "start", (F.col("start") + length).alias("end"))
 
 
-def _same(left: DataFrame, right: DataFrame):
-    return left["id"].eqNullSafe(right["id"]) & (left["_row"] == right["_row"])
-
-
 def remove_repeats(docs: DataFrame, id_col: str, text_col: str, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """(id, n_words, n_removed, kept): the words that stay, joined by one space.
 
@@ -140,23 +88,14 @@ def remove_repeats(docs: DataFrame, id_col: str, text_col: str, length: int = LE
     not remove words from each other. Null, blank and short texts (below ``length`` words) lose nothing. An empty table
     gives no rows.
     """
-    spans = cut(spans_of_repeats(docs, id_col, text_col, length, gram))
-    keyed = _keyed(docs, id_col, text_col)
-    kind = column_type(docs, id_col)
-    keys = small_side(spans.select("id", "_row"))
-    with_spans = keyed.join(keys, _same(keyed, spans), "left_semi")
-    joined = with_spans.join(spans, _same(with_spans, spans)).select(with_spans["id"], "_text", "spans")
-    without = keyed.join(keys, _same(keyed, spans), "left_anti").select("id", "_text", F.lit(None).cast("array<struct<start: int, end: int>>").alias("spans"))
-
-    def keep(rows: Iterable[tuple]) -> Iterator[tuple]:
-        for key, text, held in rows:
-            words, kept, at = text.split(), [], 0
-            for x in held or ():
-                kept += words[at : x["start"]]
-                at = x["end"]
-            kept += words[at:]
-            yield key, len(words), len(words) - len(kept), b" ".join(kept)
-
-    schema = f"id {kind}, n_words bigint, n_removed bigint, kept binary"
-    done = map_rows(joined, schema, keep, flush=2_000).unionByName(map_rows(without, schema, keep, flush=2_000))
-    return done.select("id", "n_words", "n_removed", F.col("kept").cast("string").alias("kept"))
+    spans = spans_of_repeats(docs, id_col, text_col, length, gram)
+
+    def keep(text: bytes, spans: list) -> tuple:
+        words, kept, at = text.split(), [], 0
+        for x in spans:
+            kept += words[at : x["start"]]
+            at = x["end"]
+        kept += words[at:]
+        return len(words), len(words) - len(kept), b" ".join(kept).decode(errors="replace")
+
+    return rewrite(keyed(docs, id_col, text_col), spans, "n_words bigint, n_removed bigint, kept string", keep)

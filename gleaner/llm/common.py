@@ -55,9 +55,11 @@ class WordHashes(dict):
     """64-bit hash of a word (bytes), remembered within a task; starts anew when full."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHE:
-            self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
+        h = xxhash.xxh3_64_intdigest(word)
+        if len(word) <= 64:  # longer words are rare and would fill the memory
+            if len(self) >= CACHE:
+                self.clear()
+            self[word] = h
         return h
 
     def array(self, words: list[bytes]) -> np.ndarray:

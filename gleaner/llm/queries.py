@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate as decon, simhash, substring, suffix
+from . import decontaminate as decon, packing, secrets, simhash, substring, suffix
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +32,12 @@ def op3_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = public_tokenizers.path("word_bpe_49k.json")
+    found = packing.pack(table(spark, sf_dir, "documents"), "doc_id", "text", vocabulary, capacity=2048, end_id=0)
+    return found.withColumnRenamed("id", "doc_id")
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = simhash.near_duplicates(docs, "doc_id", "text", shingle=4, radius=4, seed=42)
@@ -43,10 +50,26 @@ def op7_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.find_secrets(table(spark, sf_dir, "documents"), "doc_id", "text")
+    base = ("assign", "access", "hex")
+    of = lambda k: F.size(F.filter("spans", lambda x: x["kind"] == k)).cast("bigint").alias(f"n_{k}")
+    joined = lambda spans: F.array_join(
+        F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ","
+    )
+    return found.select(
+        F.col("id").alias("doc_id"), *[of(k) for k in base],
+        F.sha2(joined(F.filter("spans", lambda x: x["kind"].isin(*base))), 256).alias("base_sha256"),
+        joined(F.col("spans")).alias("spans"),
+    )
+
+
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op3_suffix": op3_suffix,
+    "op4_packing": op4_packing,
     "op6_simhash": op6_simhash,
     "op7_substring": op7_substring,
+    "op10_secrets": op10_secrets,
 }
 ORACLES: dict[str, str] = {}

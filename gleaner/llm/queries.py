@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate as decon, packing, secrets, simhash, substring, suffix
+from . import decontaminate as decon, packing, quality, secrets, simhash, substring, suffix
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,6 +50,14 @@ def op7_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality.measures(
+        table(spark, sf_dir, "documents"), "doc_id", "text", "lang",
+        public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.path("piece_bpe_32k.model"),
+    )
+    return found.withColumnRenamed("id", "doc_id")
+
+
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.find_secrets(table(spark, sf_dir, "documents"), "doc_id", "text")
     base = ("assign", "access", "hex")
@@ -70,6 +78,7 @@ QUERIES = {
     "op4_packing": op4_packing,
     "op6_simhash": op6_simhash,
     "op7_substring": op7_substring,
+    "op9_quality": op9_quality,
     "op10_secrets": op10_secrets,
 }
 ORACLES: dict[str, str] = {}

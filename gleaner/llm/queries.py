@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate as decon, packing, quality, secrets, simhash, substring, suffix
+from . import decontaminate as decon, packing, quality, secrets, simhash, substring, suffix, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,6 +38,16 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnRenamed("id", "doc_id")
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    out = lambda c: F.coalesce(F.crc32(F.col(c).cast("string")) % 3 == 1, F.lit(False))
+    texts = toxicity.sample(docs, "doc_id", "text", labels.filter(~out("doc_id")), "toxic", toxicity.TRAIN_DOCS)
+    found = toxicity.score(docs, "doc_id", "text", toxicity.train(texts))
+    return found.select(
+        F.col("id").alias("doc_id"), out("id").alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted")
+    )
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = simhash.near_duplicates(docs, "doc_id", "text", shingle=4, radius=4, seed=42)
@@ -76,6 +86,7 @@ QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op3_suffix": op3_suffix,
     "op4_packing": op4_packing,
+    "op5_toxicity": op5_toxicity,
     "op6_simhash": op6_simhash,
     "op7_substring": op7_substring,
     "op9_quality": op9_quality,

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate as decon, packing, quality, secrets, simhash, substring, suffix, toxicity
+from . import decontaminate as decon, licenses, lines, packing, quality, secrets, simhash, substring, suffix, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +24,14 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    found = lines.drop_boilerplate(docs, "source", "text", percent=10, min_pages=5, counts=("n_lines", "n_dropped"))
+    return found.select(
+        "doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256")
+    )
+
+
 def op3_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = suffix.remove_repeats(table(spark, sf_dir, "documents"), "doc_id", "text", length=400)
     return found.select(
@@ -60,6 +68,14 @@ def op7_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = licenses.by_document(docs, "doc_id", "text", licenses.train(docs, "doc_id", "text"))
+    return found.select(
+        F.col("id").alias("doc_id"), "n_paragraphs", "n_predicted", "n_confirmed", F.array_join("families", ",").alias("families")
+    )
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality.measures(
         table(spark, sf_dir, "documents"), "doc_id", "text", "lang",
@@ -84,12 +100,14 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
+    "op2_lines": op2_lines,
     "op3_suffix": op3_suffix,
     "op4_packing": op4_packing,
     "op5_toxicity": op5_toxicity,
     "op6_simhash": op6_simhash,
     "op7_substring": op7_substring,
+    "op8_licenses": op8_licenses,
     "op9_quality": op9_quality,
     "op10_secrets": op10_secrets,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op2_lines": lines.SQL}

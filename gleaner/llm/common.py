@@ -15,6 +15,12 @@ SLICE = 512  # rows turned into Python objects at a time
 CACHE = 400_000  # entries after which a per-task cache starts anew
 
 
+def rows_of(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICE):
+            yield from zip(*(c.to_pylist() for c in batch.slice(at, SLICE).columns), strict=True)
+
+
 def map_rows(
     df: DataFrame, schema: StructType | str, each: Callable[[Iterable[tuple]], Iterator[tuple]], flush: int = 20_000
 ) -> DataFrame:
@@ -24,18 +30,13 @@ def map_rows(
     arrow = to_arrow_schema(schema)
     names, kinds = arrow.names, arrow.types
 
-    def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, SLICE):
-                yield from zip(*(c.to_pylist() for c in batch.slice(at, SLICE).columns), strict=True)
-
     def pack(out: list[tuple]) -> pa.RecordBatch:
         columns = zip(*out, strict=True)
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
-        for row in each(rows(batches)):
+        for row in each(rows_of(batches)):
             out.append(row)
             if len(out) >= flush:
                 yield pack(out)
@@ -46,6 +47,35 @@ def map_rows(
     return df.mapInArrow(run, schema)
 
 
+def map_arrays(
+    df: DataFrame, schema: str, each: Callable[[Iterable[tuple]], Iterator[tuple]], flush: int = 100_000
+) -> DataFrame:
+    """Like ``map_rows`` for many output rows per input row: ``each`` yields (key, array, array ...) with arrays of one
+    length, for that many rows; the key, of any type, is the first column and repeats."""
+    schema = StructType.fromDDL(schema)
+    arrow = to_arrow_schema(schema)
+
+    def pack(keys: list, columns: list[tuple]) -> pa.RecordBatch:
+        counts = [len(c[0]) for c in columns]
+        ids = pa.array(keys, arrow.types[0]).take(pa.array(np.repeat(np.arange(len(keys)), counts)))
+        rest = [pa.array(np.concatenate(c), t) for c, t in zip(zip(*columns, strict=True), arrow.types[1:], strict=True)]
+        return pa.RecordBatch.from_arrays([ids, *rest], names=arrow.names)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, columns, size = [], [], 0
+        for key, *arrays in each(rows_of(batches)):
+            keys.append(key)
+            columns.append(arrays)
+            size += len(arrays[0])
+            if size >= flush:
+                yield pack(keys, columns)
+                keys, columns, size = [], [], 0
+        if keys:
+            yield pack(keys, columns)
+
+    return df.mapInArrow(run, schema)
+
+
 def raw_text(text_col: str):
     """The text as UTF-8 bytes, null as empty."""
     return F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))
@@ -146,10 +176,6 @@ class Ranges:
         return mix((self.sums[end] - self.sums[start]) * self.down[start] + (end - start).astype(np.uint64))
 
 
-def signed(h: np.ndarray) -> list[int]:
-    return h.view(np.int64).tolist()
-
-
 def runs_of(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """First and last index of every run of equal neighbours."""
     if not len(values):

@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import cut
-from .common import column_type, gram_hashes, map_rows, raw_text, runs_of, small_side, union_spans, winnow
+from .common import column_type, gram_hashes, map_arrays, map_rows, raw_text, runs_of, small_side, union_spans, winnow
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -40,14 +40,35 @@ def window_runs(h: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.n
     return grams[picked[first]], first, last
 
 
-def seeds_and_classes(found: DataFrame) -> tuple[DataFrame, DataFrame]:
+RUNS = "id {kind}, _row int, anchor bigint, reach bigint, start int, windows int"
+
+
+def seeds_and_classes(docs: DataFrame, kind: str, runs_of_text: Callable) -> tuple[DataFrame, DataFrame]:
     """Runs whose anchor occurs again, and their classes (anchor, reach, least, n, windows).
 
-    ``found``: (anchor, reach, id, _row, start, windows), reach being a hash of all the run covers. Both steps are
-    aggregations that combine before their exchange, and a join whose small side has one row per anchor.
+    ``runs_of_text()`` gives a function of a text: (anchor, first, last, reach or None) arrays, reach being a hash of all that
+    a run covers and left out where only anchors are asked for. Both steps are aggregations that combine before their
+    exchange, and a join whose small side has one row per anchor.
     """
-    again = found.groupBy("anchor").count().filter("count > 1").select("anchor")
-    seeds = cut(found.join(again, "anchor"))
+
+    def anchors(rows: Iterable[tuple]) -> Iterator[tuple]:
+        runs = runs_of_text()
+        for _, _, text in rows:
+            anchor = runs(text, False)[0]
+            if len(anchor):
+                yield None, anchor.view(np.int64)
+
+    def whole(rows: Iterable[tuple]) -> Iterator[tuple]:
+        runs = runs_of_text()
+        for key, row, text in rows:
+            anchor, first, last, reach = runs(text, True)
+            if n := len(anchor):
+                yield key, np.full(n, row, np.int32), anchor.view(np.int64), reach.view(np.int64), first, last - first + 1
+
+    seen = map_arrays(docs, "nothing int, anchor bigint", anchors)
+    # Written first, so that the join below stands on two plain exchanges and a hot anchor can be split.
+    again = cut(seen.groupBy("anchor").count().filter("count > 1").select("anchor"))
+    seeds = cut(map_arrays(docs, RUNS.format(kind=kind), whole).join(again, "anchor"))
     classes = seeds.groupBy("anchor", "reach").agg(
         F.min(place()).alias("least"), F.count(F.lit(1)).alias("n"), F.first("windows").alias("windows")
     )

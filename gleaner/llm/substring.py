@@ -16,13 +16,13 @@ documents costs one row per task and window; the join of step 1 has one row per
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import cut
-from .common import Ranges, WordHashes, column_type, map_rows, signed
+from .common import Ranges, WordHashes, column_type, map_arrays
 from .repeats import keyed, open_classes, place, rewrite, seeds_and_classes, unite, window_runs, with_texts
 
 LENGTH = 20
@@ -33,20 +33,17 @@ def spans_of_repeats(docs: DataFrame, id_col: str, text_col: str, length: int =
     """(id, _row, spans): word spans covered by a window that also starts earlier; only rows that have some."""
     rows, kind = keyed(docs, id_col, text_col), column_type(docs, id_col)
 
-    def anchors(rows: Iterable[tuple]) -> Iterator[tuple]:
+    def runs_of_text() -> Callable:
         hashes = WordHashes()
-        for key, row, text in rows:
+
+        def runs(text: bytes, reach: bool) -> tuple:
             h = hashes.array(text.split())
             anchor, first, last = window_runs(h, length, gram)
-            if len(first):
-                reach = Ranges(h)(first, last + length)
-                yield from zip(
-                    signed(anchor), signed(reach), [key] * len(first), [row] * len(first),
-                    first.tolist(), (last - first + 1).tolist(),
-                )
-
-    found = map_rows(rows, f"anchor bigint, reach bigint, id {kind}, _row int, start int, windows int", anchors)
-    seeds, classes = seeds_and_classes(found)
+            return anchor, first, last, Ranges(h)(first, last + length) if reach and len(first) else anchor
+
+        return runs
+
+    seeds, classes = seeds_and_classes(rows, kind, runs_of_text)
     # Whole runs that an earlier run equals.
     shared = classes.filter("n > 1").select("anchor", "reach", "least")
     whole = (
@@ -67,13 +64,11 @@ def _extend(docs: DataFrame, runs: DataFrame, kind: str, length: int) -> DataFra
             start = np.concatenate([np.arange(x["start"], x["start"] + x["windows"]) for x in held])
             anchor = np.repeat([x["anchor"] for x in held], [x["windows"] for x in held])
             # Equal words give equal anchors at equal distance: the window's hash stands for both of its sides.
-            yield from zip(
-                anchor.tolist(), signed(ranges(start, start + length)),
-                [key] * len(start), [row] * len(start), start.tolist(),
-            )
+            sides = ranges(start, start + length).view(np.int64)
+            yield key, np.full(len(start), row, np.int32), anchor, sides, start
 
-    schema = f"anchor bigint, sides bigint, id {kind}, _row int, start int"
-    spread = cut(map_rows(with_texts(docs, runs), schema, windows))
+    schema = f"id {kind}, _row int, anchor bigint, sides bigint, start int"
+    spread = cut(map_arrays(with_texts(docs, runs), schema, windows))
     first = spread.groupBy("anchor", "sides").agg(F.min(place()).alias("least"), F.count(F.lit(1)).alias("n"))
     later = spread.join(first.filter("n > 1").drop("n"), ["anchor", "sides"])
     later = later.filter(~place().eqNullSafe(F.col("least")))

@@ -13,7 +13,7 @@ A suffix array of the whole corpus would move every byte position; only suffixes
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import xxhash
@@ -141,14 +141,18 @@ def spans_of_repeats(docs: DataFrame, id_col: str, text_col: str, length: int =
     """(id, _row, spans): maximal byte spans covered by repeated strings; only rows that have some."""
     rows, kind = keyed(docs, id_col, text_col), column_type(docs, id_col)
 
-    def anchors(rows: Iterable[tuple]) -> Iterator[tuple]:
-        for key, row, text in rows:
+    def runs_of_text() -> Callable:
+        def runs(text: bytes, reach: bool) -> tuple:
             anchor, first, last = window_runs(_BYTE[np.frombuffer(text, np.uint8)], length, gram)
-            for h, a, b in zip(anchor.view(np.int64).tolist(), first.tolist(), last.tolist(), strict=True):
-                yield h, xxhash.xxh3_64_intdigest(text[a : b + length]) - 2**63, key, row, a, b - a + 1
+            if not reach:
+                return anchor, first, last, None
+            spans = zip(first.tolist(), last.tolist(), strict=True)
+            whole = [xxhash.xxh3_64_intdigest(text[a : b + length]) for a, b in spans]
+            return anchor, first, last, np.array(whole, np.uint64)
 
-    found = map_rows(rows, f"anchor bigint, reach bigint, id {kind}, _row int, start int, windows int", anchors)
-    seeds, classes = seeds_and_classes(found)
+        return runs
+
+    seeds, classes = seeds_and_classes(rows, kind, runs_of_text)
     shared = classes.filter("n > 1").select("anchor", "reach")
     whole = seeds.join(shared, ["anchor", "reach"]).select(
         "id", "_row", "start", (F.col("start") + F.col("windows") - 1 + length).alias("end")

@@ -8,7 +8,7 @@ A suffix array of the whole corpus would move every byte position; only suffixes
 3. What is left are anchors with several classes: their suffixes, one run per class, are sorted by deep-shallow sorting
    (``repeated_suffixes``), and neighbours that share ``length`` bytes are repeats.
 4. An anchor with more than ``GROUP`` classes is dealt over several tasks, each of which sorts its share; the distinct strings
-   that a share is left with are then counted over the shares.
+   that a share is left with are then counted over the shares, blocks of neighbouring ones first by what they have in common.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import cut, parallelism
-from .common import column_type, map_rows, mix, runs_of
+from .common import column_type, gram_hashes, map_rows, mix, runs_of, winnow
 from .repeats import keyed, open_classes, rewrite, seeds_and_classes, unite, window_runs, with_texts
 
 LENGTH = 400
@@ -28,6 +28,7 @@ GRAM = 64
 GROUP = 2_048  # classes of one anchor sorted in one task
 BATCH = 4 << 20  # bytes sorted at a time
 SHALLOW = 64  # depth at which multikey quicksort hands over to blind tries
+BLOCK = 32  # strings of neighbouring starts that are compared over shares together
 STEP = 8  # bytes that multikey quicksort takes as one character
 
 
@@ -157,10 +158,10 @@ def spans_of_repeats(docs: DataFrame, id_col: str, text_col: str, length: int =
     whole = seeds.join(shared, ["anchor", "reach"]).select(
         "id", "_row", "start", (F.col("start") + F.col("windows") - 1 + length).alias("end")
     )
-    return unite(whole.unionByName(_sorted(rows, open_classes(classes), kind, length)), kind)
+    return unite(whole.unionByName(_sorted(rows, open_classes(classes), kind, length, gram)), kind)
 
 
-def _sorted(docs: DataFrame, runs: DataFrame, kind: str, length: int) -> DataFrame:
+def _sorted(docs: DataFrame, runs: DataFrame, kind: str, length: int, gram: int) -> DataFrame:
     """(id, _row, start, end): repeats among the first runs of the classes of each anchor."""
     shares = F.ceil(F.col("classes") / GROUP).cast("int")
     dealt = runs.select(
@@ -188,41 +189,59 @@ def _sorted(docs: DataFrame, runs: DataFrame, kind: str, length: int) -> DataFra
             if held and row[4:7] == held[-1][4:7] and row[:2] == held[-1][:2]:
                 continue
             if size >= BATCH and row[:2] != group:  # groups stay whole
-                yield from _sort_batch(held, length)
+                yield from _sort_batch(held, length, gram)
                 held, size = [], 0
             held.append(row)
             size, group = size + len(row[-1]), row[:2]
         if held:
-            yield from _sort_batch(held, length)
+            yield from _sort_batch(held, length, gram)
 
-    schema = f"id {kind}, _row int, start int, end int, anchor bigint, string bigint"
+    schema = (
+        f"id {kind}, _row int, start int, end int, anchor bigint, block int, core bigint, share int, "
+        "starts array<int>, strings array<bigint>"
+    )
     found = cut(map_rows(texts, schema, sort))
-    over = found.filter("string is not null")
-    again = over.groupBy("anchor", "string").count().filter("count > 1").drop("count")
-    spans = found.filter("string is null").select("id", "_row", "start", "end")
-    return spans.unionByName(over.join(again, ["anchor", "string"]).select("id", "_row", "start", "end"))
-
-
-def _sort_batch(held: list[tuple], length: int) -> Iterator[tuple]:
-    """Spans of repeats within each group, and for anchors with several shares the strings that lead their equals."""
+    spans = found.filter("core is null").select("id", "_row", "start", "end")
+    # Over the shares of an anchor: first the bytes that all strings of a block have in common, then the strings.
+    key = ["anchor", "block", "core"]
+    meet = found.filter("core is not null").groupBy(*key).agg(F.min("share").alias("a"), F.max("share").alias("b"))
+    over = found.join(cut(meet.filter("a <> b").select(*key)), key)
+    over = over.select("id", "_row", "anchor", F.explode(F.arrays_zip("starts", "strings")).alias("x"))
+    over = cut(over.select("id", "_row", "anchor", "x.starts", "x.strings"))
+    again = over.groupBy("anchor", "strings").count().filter("count > 1").drop("count")
+    more = over.join(again, ["anchor", "strings"])
+    return spans.unionByName(more.select("id", "_row", F.col("starts").alias("start"), (F.col("starts") + length).alias("end")))
+
+
+def _sort_batch(held: list[tuple], length: int, gram: int) -> Iterator[tuple]:
+    """Spans of repeats within each group; for anchors with several shares also the strings that lead their equals.
+
+    Leaders come in blocks of ``BLOCK`` by their distance from the anchor, each with a hash of the bytes that all strings of
+    the block contain: a block whose common bytes no other share has holds no further repeats.
+    """
     keys = [row[:2] for row in held]
     groups = np.cumsum([0] + [a != b for a, b in zip(keys, keys[1:], strict=False)])
     texts, starts = [row[8] for row in held], np.array([row[7] for row in held], np.int64)
-    context, offset, leader = repeated_suffixes(texts, groups, starts, length)
-    times = np.bincount(leader, minlength=len(leader))
-    repeated = times[leader] > 1
+    _, _, leader = repeated_suffixes(texts, groups, starts, length)
+    repeated = np.bincount(leader, minlength=len(leader))[leader] > 1
     at = np.cumsum(starts) - starts
-    for i, (anchor, _, shares, n, key, row, start, windows, text) in enumerate(held):
+    digest = xxhash.xxh3_64_intdigest
+    for i, (anchor, share, shares, n, key, row, start, windows, text) in enumerate(held):
         flags = repeated[at[i] : at[i] + windows]
         if n == 1 and flags.any():  # a class of several is removed as a whole already
             edges = np.flatnonzero(np.diff(np.r_[0, flags.view(np.int8), 0]))
             for a, b in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
-                yield key, row, start + a, start + b - 1 + length, None, None
+                yield key, row, start + a, start + b - 1 + length, None, None, None, None, None, None
         if shares > 1:
             own = np.flatnonzero(leader[at[i] : at[i] + windows] == np.arange(at[i], at[i] + windows))
-            for o in own.tolist():
-                string = xxhash.xxh3_64_intdigest(text[o : o + length]) - 2**63
-                yield key, row, start + o, start + o + length, anchor, string
+            place = int(winnow(gram_hashes(_BYTE[np.frombuffer(text, np.uint8)], gram), length - gram + 1)[0])
+            blocks = (place - own) // BLOCK
+            for k in np.unique(blocks).tolist():
+                some = own[blocks == k].tolist()
+                last = place - k * BLOCK
+                core = digest(text[last : last - BLOCK + 1 + length]) - 2**63
+                strings = [digest(text[o : o + length]) - 2**63 for o in some]
+                yield key, row, None, None, anchor, k, core, share, [start + o for o in some], strings
 
 
 def remove_repeats(docs: DataFrame, id_col: str, text_col: str, length: int = LENGTH, gram: int = GRAM) -> DataFrame:

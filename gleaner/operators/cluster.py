@@ -37,43 +37,62 @@ def kmeans(df, id_col, cols, n_clusters: int = 5, seed: int = 42, max_iter: int
 
 
 def bisecting(df, id_col, cols, n_clusters: int = 10, seed: int = 42) -> DataFrame:
-    """Divisive clustering under the variance objective: the ward-like hierarchy."""
+    """Divisive clustering under the variance objective."""
     vec = km.vectors(_rows(df, id_col, cols), [f"x{i}" for i in range(len(cols))], ["id"])
     return km.fit(vec, n_clusters, seed, bisecting=True).label(vec)
 
 
 def minibatch_kmeans(
-    df, id_col, cols, n_clusters: int = 10, batch_size: int = 100, max_batches: int = 30, seed: int = 42
+    df, id_col, cols, n_clusters: int = 10, batch_size: int = 100, max_iter: int = 100, tol: float = 1e-3, seed: int = 42
 ) -> DataFrame:
-    """Mini-batch k-means: batches are hash buckets of the rows, centres move by 1 / seen-count.
+    """Mini-batch k-means: every row moves a centre in every epoch.
 
-    One pass extracts the buckets that will be used (at most ``max_batches`` of ``batch_size`` rows
-    expected), the loop works on those, one pass labels all rows.
+    An epoch is one pass. Each partition takes the centres, runs its rows through them in batches (a
+    centre moves by batch mean / rows seen so far) and returns its centres with their row counts; their
+    count-weighted mean starts the next epoch. It ends when no centre moves by more than ``tol``
+    standard deviations, or after ``max_iter`` epochs. The result depends on the partitioning.
     """
     p = len(cols)
     x = [f"x{i}" for i in range(p)]
-    rows = _rows(df, id_col, cols)
-    n = rows.count()
-    buckets = max(math.ceil(n / batch_size), 1)
-    slot = F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(buckets))
-    batches = keep(rows.withColumn("slot", slot).filter(F.col("slot") < max_batches))
-    k = min(n_clusters, n)
-    draw = batches.orderBy(F.xxhash64("id", F.lit(seed + 1))).limit(k).select(*x).collect()
-    centres = np.array([[r[c] for c in x] for r in draw])
-    seen = np.zeros(len(centres))
-    for b in range(min(buckets, max_batches)):
-        sums = (
-            nearest(batches.filter(F.col("slot") == b), x, centres, "label")
-            .groupBy("label")
-            .agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(c) for c in x])
-            .collect()  # one row per centre
-        )
-        for r in sums:
-            j, m = r["label"], r["n"]
-            seen[j] += m
-            centres[j] += (np.array([r[c] for c in x]) - m * centres[j]) / seen[j]
-    batches.unpersist()
-    return nearest(rows, x, centres, "label").select("id", "label")
+    rows = keep(_rows(df, id_col, cols))
+    draw = rows.orderBy(F.xxhash64("id", F.lit(seed))).limit(n_clusters).select(*x).collect()
+    centres = np.unique(np.array([[r[c] for c in x] for r in draw], float).reshape(-1, p), axis=0)
+    if not len(centres):
+        return rows.select("id", F.lit(0).cast("long").alias("label"))
+    spread = rows.agg(*[F.stddev_pop(c).alias(c) for c in x]).first()
+    scale = np.array([spread[c] or 1.0 for c in x])
+    schema = "j long, n double, " + ", ".join(f"{c} double" for c in x)
+    for _ in range(max_iter):
+
+        def epoch(frames, start=centres):
+            own, seen = start.copy(), np.zeros(len(start))
+            for frame in frames:
+                a = frame[x].to_numpy(float)
+                for k in range(0, len(a), batch_size):
+                    b = a[k : k + batch_size]
+                    near = ((b * b).sum(1)[:, None] - 2 * b @ own.T + (own * own).sum(1)[None, :]).argmin(1)
+                    n = np.bincount(near, minlength=len(own))
+                    hit = n > 0
+                    sums = np.zeros_like(own)
+                    np.add.at(sums, near, b)
+                    seen += n
+                    own[hit] += (sums[hit] - n[hit, None] * own[hit]) / seen[hit, None]
+            if seen.any():
+                out = pd.DataFrame(own * seen[:, None], columns=x)
+                out.insert(0, "n", seen)
+                out.insert(0, "j", np.arange(len(own)))
+                yield out
+
+        sums = rows.select(*x).mapInPandas(epoch, schema).groupBy("j").agg(F.sum("n").alias("n"), *[F.sum(c).alias(c) for c in x])
+        old = centres.copy()
+        for r in sums.collect():  # one row per centre
+            if r["n"]:
+                centres[r["j"]] = np.array([r[c] for c in x]) / r["n"]
+        if (np.abs(centres - old) / scale).max() <= tol:
+            break
+    out = nearest(_rows(df, id_col, cols), x, centres, "label").select("id", "label")
+    rows.unpersist()
+    return out
 
 
 # ---------------------------------------------------------------- Birch
@@ -259,15 +278,15 @@ def mixture_log_density(df: DataFrame, cols: Sequence[str], label: str) -> DataF
 
 def spectral(
     df, id_col, cols, n_clusters: int = 10, affinity: str = "rbf", assign_labels: str = "kmeans",
-    gamma: float = 1.0, n_neighbors: int = 10, steps: int = 4, seed: int = 42,
+    gamma: float = 1.0, n_neighbors: int = 10, seed: int = 42,
 ) -> DataFrame:
     """Spectral clustering: affinity, bottom eigenvectors, k-means on the scaled embedding.
 
     Nearest-neighbour affinity is a sparse edge table; kernel affinities are never stored, each
-    multiplication runs over tiles. ``discretize`` is assigned by k-means as well.
+    multiplication runs over tiles. Rows are assigned by k-means on the embedding.
     """
-    if assign_labels not in ("kmeans", "discretize"):
-        raise ValueError(f"unknown assignment {assign_labels!r}")
+    if assign_labels != "kmeans":
+        raise ValueError(f"assignment {assign_labels!r} is not available: use 'kmeans'")
     p = len(cols)
     x = [f"x{i}" for i in range(p)]
     rows = cut(_rows(df, id_col, cols))
@@ -283,7 +302,7 @@ def spectral(
         seeds, width = graph.coarse_start(edges, parts, n_clusters + 4)
         start = (parts.join(F.broadcast(seeds), "part").drop("part"), width)  # one row per part
         out, lam, _ = graph.spectral_embedding(
-            graph.edge_product(edges), graph.degrees(edges), n_clusters, steps=steps, seed=seed, start=start
+            graph.edge_product(edges), graph.degrees(edges), n_clusters, seed=seed, start=start
         )
     elif affinity in KERNELS:
         blocks = block_count(rows, n)
@@ -306,7 +325,7 @@ def spectral(
             parts.select("id", F.lit(1.0).alias("c0"), *[f.alias(f"c{j + 1}") for j, f in enumerate(flags)]),
             width,
         )
-        out, lam, _ = graph.spectral_embedding(product, deg, n_clusters, steps=steps, seed=seed, start=start)
+        out, lam, _ = graph.spectral_embedding(product, deg, n_clusters, seed=seed, start=start)
     else:
         raise ValueError(f"unknown affinity {affinity!r}")
     vs = [f"v{i}" for i in range(len(lam))]
@@ -333,13 +352,10 @@ def single_linkage(df, id_col, cols, n_clusters: int = 10, affinity: str = "eucl
 
 
 def agglomerative(df, id_col, cols, n_clusters: int = 10, linkage: str = "single", affinity: str = "euclidean", seed: int = 42):
-    if linkage == "ward" and affinity != "euclidean":
-        raise ValueError("ward linkage needs the euclidean affinity")
-    if linkage == "single":
-        return single_linkage(df, id_col, cols, n_clusters, affinity)
-    if linkage == "ward":
-        return bisecting(df, id_col, cols, n_clusters, seed)
-    raise ValueError(f"{linkage!r} linkage is not available: use 'single' or 'ward'")
+    """Exact single linkage; the divisive method under the variance objective is :func:`bisecting`."""
+    if linkage != "single":
+        raise ValueError(f"{linkage!r} linkage is not available: use 'single', or the clusterer Bisecting")
+    return single_linkage(df, id_col, cols, n_clusters, affinity)
 
 
 # ---------------------------------------------------------------- affinity propagation

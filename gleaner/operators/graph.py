@@ -13,8 +13,6 @@ from ..functions.reduce import gram
 from ..session import cut
 from .tiles import METRICS, block_count, distance_matrix, features, hash_blocks, tile_apply
 
-MAX_ROUNDS = 60
-
 
 def components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     """Connected components: (id, comp) with comp the smallest id of the component.
@@ -30,9 +28,7 @@ def components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
         .distinct()
     )
     hooks = []
-    for _ in range(MAX_ROUNDS):
-        if e.isEmpty():
-            break
+    while not e.isEmpty():  # every round joins each root that has a smaller neighbour to another one
         # Stored as a < b, so the smaller neighbour of b is a.
         hook = e.groupBy(F.col("b").alias("id")).agg(F.min("a").alias("to"))
         hook = cut(_double(hook))
@@ -48,8 +44,6 @@ def components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
             .select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b"))
             .distinct()
         )
-    else:
-        raise RuntimeError("components did not converge")
     own = vertices.select("id", F.col("id").alias("comp"))
     for hook in hooks:
         own = own.join(hook.withColumnRenamed("id", "comp"), "comp", "left").select(
@@ -143,9 +137,7 @@ def spanning_tree(df: DataFrame, id_col: str, cols: Sequence[str], metric: str =
         left = best(a, b, d)
         return left if same else pd.concat([left, best(b, a, d.T)])
 
-    for _ in range(MAX_ROUNDS):
-        if comp.select("comp").distinct().limit(2).count() < 2:
-            break
+    while comp.select("comp").distinct().limit(2).count() > 1:  # the number of components halves at least
         state = placed.join(comp.withColumnRenamed("id", "_id"), "_id")
         cand = tile_apply(state, blocks, tile, "comp long, d double, a long, b long, to long")
         pick = cut(
@@ -156,8 +148,6 @@ def spanning_tree(df: DataFrame, id_col: str, cols: Sequence[str], metric: str =
         picks.append(pick.select("a", "b", "d").dropDuplicates(["a", "b"]))
         root = _flatten(pick.select("comp", "to"))
         comp = cut(comp.join(root, "comp").select("id", F.col("to").alias("comp")))
-    else:
-        raise RuntimeError("spanning tree did not converge")
     tree = picks[0]
     for part in picks[1:]:
         tree = tree.unionByName(part)
@@ -173,7 +163,7 @@ def _flatten(pick: DataFrame) -> DataFrame:
         .otherwise(F.col("to"))
         .alias("to"),
     )
-    for _ in range(MAX_ROUNDS):
+    while True:  # picks form a forest: doubling reaches every root
         for _ in range(2):
             nxt = up.select(F.col("comp").alias("to"), F.col("to").alias("to2"))
             up = up.join(nxt, "to").select("comp", F.col("to2").alias("to"))
@@ -181,7 +171,6 @@ def _flatten(pick: DataFrame) -> DataFrame:
         roots = up.select(F.col("comp").alias("to"), F.col("to").alias("to2"))
         if up.join(roots, "to").filter("to <> to2").isEmpty():
             return up
-    raise RuntimeError("picks did not flatten")
 
 
 # ---------------------------------------------------------------- spectral embedding
@@ -242,51 +231,70 @@ def _rotate(df: DataFrame, ys: Sequence[str], m: np.ndarray, outs: Sequence[str]
 
     def run(batches):
         for pdf in batches:
-            out = pd.DataFrame(pdf[ys].to_numpy(float) @ m, columns=outs)
-            for i, c in enumerate(keep):
-                out.insert(i, c, pdf[c].to_numpy())
-            yield out
+            yield pd.concat([pdf[list(keep)], pd.DataFrame(pdf[ys].to_numpy(float) @ m, columns=outs, index=pdf.index)], axis=1)
 
     types = dict(df.dtypes)
     schema = ", ".join([f"{c} {types[c]}" for c in keep] + [f"{o} double" for o in outs])
     return df.select(*keep, *[y for y in ys if y not in keep]).mapInPandas(run, schema)
 
 
+TOLERANCE = 1e-3  # residual of (I + N) / 2, whose eigenvalues lie in [0, 1]
+
+
+class NotConverged(ArithmeticError):
+    """An iteration reached its last round above its tolerance."""
+
+
 def spectral_embedding(
     product: Callable[[DataFrame, Sequence[str]], DataFrame],
     scale: DataFrame,
     k: int,
-    steps: int = 4,
-    extra: int = 4,
+    steps: int = 6,
+    extra: int = 8,
     seed: int = 42,
     start: tuple[DataFrame, int] | None = None,
+    tol: float = TOLERANCE,
+    max_restarts: int = 40,
 ):
     """Bottom k eigenpairs of the normalised Laplacian I - N, N = D^-1/2 W D^-1/2.
 
     ``scale(id, degree)`` lists every vertex. The block Krylov space of (I + N) / 2 is built by
     ``steps`` products, and Rayleigh-Ritz on it gives the vectors; (I + N) / 2 has no negative
-    eigenvalue, so its leading vectors belong to the smallest Laplacian eigenvalues. ``start``
+    eigenvalue, so its leading vectors belong to the smallest Laplacian eigenvalues. The leading
+    ``k + extra`` vectors start the next space until the residuals of the first k are at most ``tol``;
+    :class:`NotConverged` is raised if ``max_restarts`` spaces do not get there. ``start``
     (``id`` and c0.. columns, in the degree-scaled form of :func:`coarse_start`) seeds the block,
     otherwise it is pseudo-random. Only Gram matrices of the basis reach the driver.
 
     Returns (vectors ``id, _s, v0..`` with ``_s`` = degree^-1/2, eigenvalues ascending, residuals).
     """
     base = scale.select("id", (1.0 / F.sqrt("degree")).alias("_s"))
+    noise = lambda i: F.pmod(F.xxhash64(F.col("id"), F.lit(seed), F.lit(i)), F.lit(2_000_003)) / F.lit(1_000_001.5) - 1
+    width = k + extra
     if start is not None:
-        seeds, width = start
-        block = base.join(seeds, "id").select(
-            "id", "_s", *[(F.col(f"c{j}") / F.col("_s")).alias(f"y{j}") for j in range(width)]
-        )
+        seeds, have = start
+        first = [(F.col(f"c{j}") / F.col("_s")).alias(f"y{j}") for j in range(have)]
+        block = base.join(seeds, "id")
     else:
-        width = k + extra
-        noise = [
-            (F.pmod(F.xxhash64(F.col("id"), F.lit(seed), F.lit(i)), F.lit(2_000_003)) / F.lit(1_000_001.5) - 1).alias(f"y{i}")
-            for i in range(width)
-        ]
-        noise[0] = (1.0 / F.col("_s")).alias("y0")  # the trivial vector D^1/2 1 is known
-        block = base.select("id", "_s", *noise)
-    block = cut(block)
-    ys = [f"y{j}" for j in range(width)]
+        have, block = 1, base
+        first = [(1.0 / F.col("_s")).alias("y0")]  # the trivial vector D^1/2 1 is known
+    block = cut(block.select("id", "_s", *first, *[noise(i).alias(f"y{i}") for i in range(have, width)]))
+    width = max(width, have)
+    res: list[float] = []
+    for _ in range(max_restarts):
+        block, mu, res = _krylov(product, block, [f"y{j}" for j in range(width)], k + extra, steps)
+        width = len(mu)
+        if max(res[:k], default=0.0) <= tol:
+            break
+    else:
+        raise NotConverged(f"residual {max(res[:k]):.2g} above {tol:.2g} after {max_restarts} restarts")
+    found = min(k, width)
+    out = block.select("id", "_s", *[F.col(f"y{i}").alias(f"v{i}") for i in range(found)])
+    return out, 2 * (1 - mu[:found]), res[:found]
+
+
+def _krylov(product: Callable, block: DataFrame, ys: list[str], k: int, steps: int) -> tuple[DataFrame, np.ndarray, list[float]]:
+    """Ritz vectors (id, _s, y0..), values and residuals of one block Krylov space of (I + N) / 2."""
 
     def whiten(g: np.ndarray, tol: float) -> np.ndarray:
         val, vec = np.linalg.eigh((g + g.T) / 2)
@@ -334,5 +342,5 @@ def spectral_embedding(
         float(np.sqrt(max(c @ gi @ c - 2 * v * (c @ h @ c) + v * v * (c @ gb @ c), 0.0)))
         for c, v in zip(coef.T, mu)
     ]
-    out = cut(_rotate(space, used, coef, [f"v{i}" for i in range(len(top))], ["id", "_s"]))
-    return out, 2 * (1 - mu), res
+    out = cut(_rotate(space, used, coef, [f"y{i}" for i in range(len(top))], ["id", "_s"]))
+    return out, mu, res

@@ -17,12 +17,13 @@ from ..functions.numeric import name, soft_threshold, unpivot
 from ..functions.reduce import gram, sum_vectors
 from ..session import cut, keep
 from . import graph, kmeans
+from .assign import nearest
 from .neighbours import knn
 from .order import running
 from .tiles import block_count, collapse, features, hash_blocks, kernel_matrix, kernel_sums, tile_apply
 
-MAX_EXACT_ROWS = 200_000  # beyond this, kernel sums use random features unless asked otherwise
-RANDOM_FEATURES = 1024
+RANDOM_FEATURES = 1024  # of method "rff"
+METHODS = ("exact", "rff")
 
 
 def score_table(spark: SparkSession, cols: Sequence[str], scores) -> DataFrame:
@@ -69,22 +70,25 @@ def _random_features(p: int, gamma: float, m: int, seed: int):
 
 
 def spec_sums(
-    df: DataFrame, id_col: str, cols: Sequence[str], method: str = "auto", seed: int = 42
+    df: DataFrame, id_col: str, cols: Sequence[str], method: str = "exact", seed: int = 42
 ) -> dict[str, np.ndarray]:
     """The per-column sums all spectral scores are made of, for the RBF graph with gamma = 1/p.
 
     ``cut``  = sum_il x_ij k_il x_lj / (d_i d_l)
     ``norm`` = sum_i x_ij^2 / d_i          ``mass`` = sum_i x_ij / d_i
 
-    Exact: two tile passes (degrees, then p numbers per tile). ``rff``: two linear passes over
-    random features; ``auto`` takes it beyond MAX_EXACT_ROWS distinct rows.
+    ``exact``: two tile passes (degrees, then p numbers per tile). ``rff``: two linear passes over
+    random features, an estimate whose error falls with the square root of their number. The caller
+    chooses; the size of the table never does.
     """
+    if method not in METHODS:
+        raise ValueError(f"unknown method {method!r}: use one of {METHODS}")
     p = len(cols)
     gamma = 1.0 / p
     pts = cut(collapse(df, id_col, cols))
     n = pts.count()
     x = [f"x{i}" for i in range(p)]
-    if method == "rff" or (method == "auto" and n > MAX_EXACT_ROWS):
+    if method == "rff":
         phi = _random_features(p, gamma, RANDOM_FEATURES, seed)
         mass_phi = sum_vectors(pts, [*x, "_w"], lambda a: phi(a[:, :p]).T @ a[:, p])
         m = len(mass_phi)
@@ -128,7 +132,7 @@ def spec_sums(
     return {"cut": cuts, "norm": flat[:p], "mass": flat[p:]}
 
 
-def normalized_cut(df, id_col, cols, method: str = "auto") -> DataFrame:
+def normalized_cut(df, id_col, cols, method: str = "exact") -> DataFrame:
     """f' L f of every degree-scaled, unit-length column on the normalised RBF Laplacian."""
     s = spec_sums(df, id_col, cols, method)
     with np.errstate(divide="ignore", invalid="ignore"):
@@ -136,7 +140,7 @@ def normalized_cut(df, id_col, cols, method: str = "auto") -> DataFrame:
     return score_table(df.sparkSession, cols, score)
 
 
-def generic_spec(df, id_col, cols, method: str = "auto") -> DataFrame:
+def generic_spec(df, id_col, cols, method: str = "exact") -> DataFrame:
     """The cut score divided by one minus the column's share of the trivial eigenvector."""
     s = spec_sums(df, id_col, cols, method)
     with np.errstate(divide="ignore", invalid="ignore"):
@@ -144,14 +148,16 @@ def generic_spec(df, id_col, cols, method: str = "auto") -> DataFrame:
     return score_table(df.sparkSession, cols, score)
 
 
-def fixed_spec(df, id_col, cols, clusters: int = 3, method: str = "auto", steps: int = 4, seed: int = 42):
+def fixed_spec(df, id_col, cols, clusters: int = 3, method: str = "exact", seed: int = 42):
     """- sum over the first non-trivial eigenvectors of (2 - eigenvalue) cos^2(column, eigenvector)."""
+    if method not in METHODS:
+        raise ValueError(f"unknown method {method!r}: use one of {METHODS}")
     p = len(cols)
     gamma = 1.0 / p
     pts = cut(collapse(df, id_col, cols))
     n = pts.count()
     x = [f"x{i}" for i in range(p)]
-    if method == "rff" or (method == "auto" and n > MAX_EXACT_ROWS):
+    if method == "rff":
         phi = _random_features(p, gamma, RANDOM_FEATURES // 2, seed)
         mass_phi = sum_vectors(pts, [*x, "_w"], lambda a: phi(a[:, :p]).T @ a[:, p])
         m = len(mass_phi)
@@ -179,7 +185,7 @@ def fixed_spec(df, id_col, cols, clusters: int = 3, method: str = "auto", steps:
 
         # Copies share one vertex: degree / copies makes the reduced matrix symmetric.
         scale = pts.join(deg, "_id").select(F.col("_id").alias("id"), (F.col("deg") / F.col("_w")).alias("degree"))
-        vec, lam, _ = graph.spectral_embedding(product, scale, clusters, steps=steps, seed=seed)
+        vec, lam, _ = graph.spectral_embedding(product, scale, clusters, seed=seed)
         vs = [f"v{i}" for i in range(len(lam))]
         joined = vec.join(pts.withColumnRenamed("_id", "id"), "id").select(
             *[(F.col(c) * F.col("_s")).alias(c) for c in x], *vs
@@ -197,7 +203,7 @@ def fixed_spec(df, id_col, cols, clusters: int = 3, method: str = "auto", steps:
 
 def knn_embedding(
     df: DataFrame, id_col: str, cols: Sequence[str], k_vectors: int, p: int = 8,
-    sigma: float = 1.0, steps: int = 4, seed: int = 42, parts: int = 100,
+    sigma: float = 1.0, seed: int = 42, parts: int = 100, tol: float = graph.TOLERANCE,
 ):
     """Bottom generalised eigenvectors L y = lambda D y of the symmetrised heat-kernel kNN graph."""
     near = knn(df, id_col, cols, p)
@@ -210,7 +216,7 @@ def knn_embedding(
     seeds, width = graph.coarse_start(edges, labelled, k_vectors + 4)
     start = (labelled.join(F.broadcast(seeds), "part").drop("part"), width)  # one row per part
     out, lam, res = graph.spectral_embedding(
-        graph.edge_product(edges), deg, k_vectors, steps=steps, seed=seed, start=start
+        graph.edge_product(edges), deg, k_vectors, seed=seed, start=start, tol=tol
     )
     ys = [(F.col(f"v{i}") * F.col("_s")).alias(f"v{i}") for i in range(len(lam))]
     return out.select("id", *ys), lam, res
@@ -388,6 +394,21 @@ def constrained_weights(objective: np.ndarray, bound: float, tol: float = 1e-10)
     return w if w.any() else at(lo)
 
 
+def _lloyd(base: DataFrame, cols: Sequence[str], centres: np.ndarray, w: np.ndarray, rounds: int = 10, tol: float = 1e-6):
+    """Weighted k-means from given centres: (labelled rows, centres). Each round is one aggregation."""
+    scaled = base.select("id", *cols, *[(name(c) * F.lit(float(v))).alias(f"_z{i}") for i, (c, v) in enumerate(zip(cols, w))])
+    zs = [f"_z{i}" for i in range(len(cols))]
+    for _ in range(rounds):
+        labelled = nearest(scaled, zs, centres * w, "label")
+        means = labelled.groupBy("label").agg(*[F.avg(name(c)).alias(f"m{i}") for i, c in enumerate(cols)]).collect()
+        old = centres.copy()
+        for r in means:  # one row per centre
+            centres[r["label"]] = [r[f"m{i}"] for i in range(len(cols))]
+        if np.abs(centres - old).max() <= tol:
+            break
+    return cut(labelled.drop(*zs)), centres
+
+
 def sparse_kmeans(
     df: DataFrame, id_col: str, cols: Sequence[str], norm_constraint: float = 2.0, n_clusters: int = 8,
     eps: float = 1e-4, max_iterations: int = 100, seed: int = 42,
@@ -397,10 +418,11 @@ def sparse_kmeans(
     base = keep(df.select(name(id_col).alias("id"), *[name(c).cast("double").alias(c) for c in cols]))
     overall = cut(pairwise_absolute_sums(base, cols))
     w = np.full(p, 1 / math.sqrt(p))
+    centres = kmeans.fit(kmeans.vectors(base, cols, [], scale=w), n_clusters, seed=seed).centres / w
     labelled = None
     for _ in range(max_iterations):
-        vec = kmeans.vectors(base, cols, ["id", *cols], scale=w)
-        labelled = kmeans.fit(vec, n_clusters, seed=seed).label(vec)
+        # Rounds go on from the last centres, so both steps only ever improve the objective and the weights settle.
+        labelled, centres = _lloyd(base, cols, centres, w)
         rows = sparse_objective(labelled, cols, "label", overall).collect()  # p rows
         by = {r["feature"]: r["objective"] for r in rows}
         new = constrained_weights(np.array([by[c] for c in cols]), norm_constraint)

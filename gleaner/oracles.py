@@ -303,7 +303,7 @@ SELECT vec_id, nearest, {r6('d', 'dist')} FROM (SELECT vec_id, k AS nearest, d,
 
 # ---------------------------------------------------------------- linear algebra and selection
 
-O["scatter_matrices"] = f"""WITH {WIDE}, c AS (SELECT vec_id, label, j, v - avg(v) OVER (PARTITION BY label, j) AS v FROM z WHERE j < 8)
+O["scatter_matrices"] = f"""WITH {WIDE}, c AS (SELECT vec_id, label, j, v - avg(v) OVER (PARTITION BY label, j) AS v FROM z)
 SELECT a.label, a.j::BIGINT AS i, b.j::BIGINT AS j, {r6('sum(a.v * b.v)', 'within')} FROM c a JOIN c b USING (vec_id) GROUP BY a.label, a.j, b.j"""
 _var = "SELECT 'e' || j AS feature, j::BIGINT AS idx, round(round(var_pop(v0), 3), 6) + 0.0 AS score FROM raw GROUP BY j"
 _topk = "row_number() OVER (ORDER BY score DESC, idx DESC)"
@@ -400,8 +400,9 @@ _CL = f"""{LINE_SCALED}, c AS (SELECT label, count(*)::DOUBLE AS n, {', '.join(f
 g AS (SELECT {', '.join(f'avg({c}) AS g_{c}' for c in LINE)} FROM line)"""
 O["measure_calinski_harabasz"] = f"""WITH {_CL}, q AS (SELECT (sum({_b}) / (count(*) - 1)) / (sum({_w}) / (sum(n) - count(*))) AS r FROM c, g)
 SELECT {r6('r', 'raw')}, {r6('1 - tanh(r)', 'measure')} FROM q"""
-O["measure_degenerate"] = """SELECT count(DISTINCT l) AS n_labels, CASE WHEN count(DISTINCT l) < 2 THEN 'inf'::DOUBLE ELSE 0.5 END AS measure
-FROM (SELECT 0 AS l FROM lineitem)"""
+O["measure_degenerate"] = f"""WITH {_CL}, q AS (SELECT count(*) AS k, (sum({_b}) / (count(*) - 1)) / (sum({_w}) / (sum(n) - count(*))) AS r FROM c, g)
+SELECT 'l_linenumber' AS labelling, k AS n_labels, round(1 - tanh(r), 6) AS measure FROM q
+UNION ALL SELECT 'one', count(DISTINCT l_linenumber >= 0), 'inf'::DOUBLE FROM lineitem"""
 O["kmeans_inertia"] = f"WITH {_CL} SELECT round(sum({_w}), 3) AS inertia FROM c"
 
 # ---------------------------------------------------------------- search
@@ -415,3 +416,9 @@ O["search_pairs"] = f"""WITH {_HIST}, n AS (SELECT 'C' || c AS clusterer, 'S' ||
 SELECT clusterer || '_' || selector AS pair, min(score) AS best, count(score) AS evaluations FROM n LEFT JOIN h USING (clusterer, selector) GROUP BY clusterer, selector"""
 
 ORACLES = O
+O["search_candidates"] = "SELECT row_number() OVER () - 1 AS candidate_id, true AS known_clusterer, true AS known_selector FROM customer"
+O["load_csv"] = f"""SELECT o_orderkey, {r6('o_totalprice', 'o_totalprice')}, o_orderpriority, (o_custkey % 12)::BIGINT AS code FROM orders"""
+O["spec_catalog"] = """SELECT * FROM (VALUES ('lineitem', 4, 1, 0, 5, true), ('orders', 1, 1, 1, 2, false), ('part', 2, 2, 0, 1, false),
+('customer', 1, 1, 0, 2, false), ('events', 1, 1, 0, 3, false)) t(dataset, n_numerical, n_categorical, n_ordinal, n_ignored, has_target)
+JOIN (SELECT 'lineitem' AS dataset, count(*) AS n_rows FROM lineitem UNION ALL SELECT 'orders', count(*) FROM orders
+UNION ALL SELECT 'part', count(*) FROM part UNION ALL SELECT 'customer', count(*) FROM customer UNION ALL SELECT 'events', count(*) FROM events) c USING (dataset)"""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import math
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -14,7 +15,7 @@ from .operators import (
 )
 from .operators.order import with_row_id
 from .plans import batch, search
-from .session import cut
+from .session import cut, scratch_path
 from .sources import spec as spec_mod, store, synth
 
 
@@ -320,12 +321,12 @@ def assign_nearest(spark, sf):
 
 
 def scatter_matrices(spark, sf):
-    d = R.wide(spark, sf).select("label", *R.WIDE[:8])
-    tables = localised.scatter_tables(d, R.WIDE[:8], "label")
+    p = len(R.WIDE)
+    tables = localised.scatter_tables(R.wide(spark, sf).select("label", *R.WIDE), R.WIDE, "label")
     rows = []
     for l, t in tables.items():
         within = t.around(t.mean)
-        rows += [(int(l), i, j, float(within[i, j])) for i in range(8) for j in range(8)]
+        rows += [(int(l), i, j, float(within[i, j])) for i in range(p) for j in range(p)]
     out = spark.createDataFrame(rows, "label long, i long, j long, within double")
     return out.select("label", "i", "j", r6(F.col("within")).alias("within"))
 
@@ -429,7 +430,7 @@ def wkmeans_weights(spark, sf):
 
 
 def fs_sparse_kmeans(spark, sf):
-    return select.sparse_kmeans(R.line_matrix(spark, sf), "row_id", R.LINE_COLS, 1.5, max_iterations=5)[0]
+    return select.sparse_kmeans(R.line_matrix(spark, sf), "row_id", R.LINE_COLS, 1.5)[0]
 
 
 def sparse_kmeans_objective(spark, sf):
@@ -456,7 +457,7 @@ def soft_threshold_rows(spark, sf):
 
 def fs_lfsbss(spark, sf):
     d = R.line_matrix(spark, sf)
-    return localised.localised_selection(d, "row_id", R.LINE_COLS, 3, max_iterations=1).labels
+    return localised.localised_selection(d, "row_id", R.LINE_COLS, 3).labels
 
 
 # ---------------------------------------------------------------- clustering
@@ -471,7 +472,7 @@ def cl_bisecting(spark, sf):
 
 
 def cl_minibatch_kmeans(spark, sf):
-    return cluster.minibatch_kmeans(R.line_matrix(spark, sf), "row_id", R.LINE_COLS, 5, 1000, max_batches=10)
+    return cluster.minibatch_kmeans(R.line_matrix(spark, sf), "row_id", R.LINE_COLS, 5, 1000)
 
 
 def cl_birch(spark, sf):
@@ -485,11 +486,11 @@ def birch_summaries(spark, sf):
 
 
 def cl_gmm(spark, sf):
-    return cluster.gaussian_mixture(R.line_matrix(spark, sf), "row_id", R.LINE_COLS, 3, "full", max_iter=20)
+    return cluster.gaussian_mixture(R.line_matrix(spark, sf), "row_id", R.LINE_COLS, 3, "full")
 
 
 def cl_gmm_diag(spark, sf):
-    return cluster.gaussian_mixture(R.part_scaled(spark, sf), "p_partkey", R.PART_COLS, 3, "diag", "random", max_iter=20)
+    return cluster.gaussian_mixture(R.part_scaled(spark, sf), "p_partkey", R.PART_COLS, 3, "diag", "random")
 
 
 def gmm_estep(spark, sf):
@@ -539,7 +540,7 @@ def cl_spectral(spark, sf):
 
 
 def cl_spectral_rbf(spark, sf):
-    return cluster.spectral(R.wide_raw(spark, sf), "vec_id", R.WIDE, 4, "rbf", steps=3)
+    return cluster.spectral(R.wide_raw(spark, sf), "vec_id", R.WIDE, 4, "rbf")
 
 
 def affinity_kernels(spark, sf):
@@ -562,7 +563,7 @@ def cl_single_linkage(spark, sf):
 
 
 def cl_affinity_propagation(spark, sf):
-    return cluster.affinity_propagation(R.wide_raw(spark, sf), "vec_id", R.WIDE, max_iter=20)
+    return cluster.affinity_propagation(R.wide_raw(spark, sf), "vec_id", R.WIDE)
 
 
 # ---------------------------------------------------------------- measures
@@ -585,8 +586,14 @@ def measure_calinski_harabasz(spark, sf):
 
 
 def measure_degenerate(spark, sf):
-    one = R.line(spark, sf).select(F.lit(0).alias("label"))
-    return measures.degenerate_rule(one, "label", F.lit(0.5))
+    """Two labellings of lineitem: by line number, and by a rule that puts every row into one cluster."""
+    d = R.line_scaled(spark, sf).withColumn("one", (F.col("l_linenumber") >= 0).cast("long"))
+    rows = []
+    for label in ("l_linenumber", "one"):
+        k = d.select(label).distinct().count()
+        value, _ = measures.score("calinski_harabasz", d, "l_orderkey", R.LINE_COLS, label)
+        rows.append((label, k, round(value, 6)))
+    return spark.createDataFrame(rows, "labelling string, n_labels long, measure double")
 
 
 def kmeans_inertia(spark, sf):
@@ -626,18 +633,58 @@ def search_one(spark, sf):
 
 def search_history(spark, sf):
     m, key, cols = _part_onehot(spark, sf)
-    plan = search.candidates(spark, 4, ("KMeans", "Birch"), ("NullModel",))
-    hist = search.random_search(cut(m), key, cols, plan, "calinski_harabasz", cutoff=60)
+    plan = search.candidates(spark, 20, ("KMeans", "DBSCAN"), ("NullModel", "NormalizedCut"))
+    hist = search.random_search(cut(m), key, cols, plan, cutoff=None)
     return hist.drop("seconds")
 
 
+def search_candidates(spark, sf):
+    """As many candidates as there are customers, by pair."""
+    n = R.table(spark, sf, "customer").count()
+    names = sorted(search.CLUSTERERS), sorted(search.SELECTORS)
+    drawn = search.candidates(spark, n, *names)
+    return drawn.select("candidate_id", F.col("clusterer").isin(*names[0]).alias("known_clusterer"),
+                        F.col("selector").isin(*names[1]).alias("known_selector"))
+
+
+def spec_catalog(spark, sf):
+    """Descriptors of the tables, written as a catalog and read back, with the row counts of their tables."""
+    specs = {"lineitem": R.LINEITEM, "orders": R.ORDERS, "part": R.PART, "customer": R.CUSTOMER, "events": R.EVENTS}
+    folder = scratch_path(spark)
+    spec_mod.write_catalog(spark, [{"dataset": n, **json.loads(s.to_json())} for n, s in specs.items()], folder)
+    counts = None
+    for n in specs:
+        one = R.table(spark, sf, n).agg(F.count(F.lit(1)).alias("n_rows")).withColumn("dataset", F.lit(n))
+        counts = one if counts is None else counts.unionByName(one)
+    found = spec_mod.catalog_counts(spec_mod.spec_catalog(spark, folder, lines=True)).join(counts, "dataset")
+    return found.select("dataset", "n_numerical", "n_categorical", "n_ordinal", "n_ignored", "has_target", "n_rows")
+
+
+def load_csv(spark, sf):
+    """orders as a CSV file, loaded by its descriptor: levels of a numeric category in the order of numbers."""
+    folder = scratch_path(spark)
+    d = R.table(spark, sf, "orders").select(
+        "o_orderkey", "o_totalprice", (F.col("o_custkey") % 12 - 1).alias("o_group"), "o_orderpriority"
+    )
+    d.write.option("header", True).csv(f"{folder}/orders.csv")
+    spec = spec_mod.TableSpec(
+        numerical=("o_totalprice",), categorical=("o_group", "o_orderpriority"), ignore=("o_orderkey",), path="orders.csv"
+    )
+    loaded = spec_mod.load_table(spark, spec, folder)
+    order = {int(v): i for i, v in enumerate(prep.levels(loaded, ["o_group"])["o_group"])}
+    code = F.element_at(F.create_map(*[F.lit(x) for kv in order.items() for x in kv]), F.col("o_group").cast("int"))
+    return loaded.select(
+        "o_orderkey", r6(F.col("o_totalprice")).alias("o_totalprice"), "o_orderpriority", code.cast("long").alias("code")
+    )
+
+
 def search_sweep(spark, sf):
     m, key, cols = _part_onehot(spark, sf)
     p = R.part_scaled(spark, sf)
     return search.sweep(
         spark, {"customer": (cut(m), key, cols), "part": (cut(p), "p_partkey", R.PART_COLS)},
-        n_evaluations=2, clusterers=("KMeans", "MiniBatchKMeans"), selectors=("NullModel",),
-        measures=("calinski_harabasz", "davies_bouldin"), cutoff=60,
+        n_evaluations=8, clusterers=("KMeans", "MiniBatchKMeans", "Birch", "GaussianMixture"),
+        selectors=("NullModel", "GenericSPEC"), cutoff=None,
     )
 
 
@@ -673,7 +720,7 @@ QUERIES = {
         optics_core_distance_manhattan, cl_mean_shift, mean_shift_step, cl_spectral, cl_spectral_rbf,
         affinity_kernels, cl_single_linkage, cl_affinity_propagation, measure_silhouette,
         measure_silhouette_squared, measure_davies_bouldin, measure_calinski_harabasz, measure_degenerate,
-        kmeans_inertia, flagship, search_one, search_history, search_sweep, search_trajectory,
+        kmeans_inertia, flagship, spec_catalog, load_csv, search_candidates, search_one, search_history, search_sweep, search_trajectory,
         search_leaderboard, search_pairs,
     )
 }

@@ -30,6 +30,11 @@ def _scratch(spark: SparkSession) -> str:
     return _own[app]
 
 
+def scratch_path(spark: SparkSession) -> str:
+    """A new path in the shared folder, gone when the application ends."""
+    return f"{_scratch(spark)}/{uuid.uuid4().hex}"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and go on from the written table.
 
@@ -38,7 +43,7 @@ def cut(df: DataFrame) -> DataFrame:
     rounds of a loop until planning dominates).
     """
     spark = df.sparkSession
-    path = f"{_scratch(spark)}/{uuid.uuid4().hex}"
+    path = scratch_path(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

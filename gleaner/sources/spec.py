@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Sequence
 from dataclasses import asdict, dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from ..functions.numeric import name
+from ..functions.numeric import name, quoted
 
 SPEC_SCHEMA = T.StructType(
     [
@@ -161,13 +162,15 @@ def null_tokens(df: DataFrame) -> DataFrame:
 def load_table(spark: SparkSession, spec: TableSpec, cache_path: str, schema=None) -> DataFrame:
     """Read the CSV or parquet file a descriptor points to.
 
-    CSV files are read as text and the declared numerical columns are cast, which spares the
-    extra pass of schema inference; pass ``schema`` to fix all types.
+    Parquet comes as it is stored. Of a CSV file without ``schema``, columns whose values all parse as numbers are
+    numbers (one more pass), so their levels sort as numbers; the declared numerical columns are doubles in any case.
+    The missing-value spellings become null before types are decided.
     """
     path = f"{cache_path.rstrip('/')}/{spec.path}"
     if spec.path.endswith(".parquet"):
         df = spark.read.parquet(path)
-        return spec.check(df) and null_tokens(df)
+        spec.check(df)
+        return df
     reader = spark.read.option("header", True)
     df = reader.schema(schema).csv(path) if schema is not None else reader.csv(path)
     spec.check(df)
@@ -175,9 +178,22 @@ def load_table(spark: SparkSession, spec: TableSpec, cache_path: str, schema=Non
     if schema is not None:
         return df
     numeric = set(spec.numerical)
-    return df.select(
-        *[name(c).cast("double").alias(c) if c in numeric else name(c) for c in df.columns]
-    )
+    free = [c for c in df.columns if c not in numeric]
+    return df.select(*[name(c).cast(t).alias(c) for c, t in {**{c: "double" for c in df.columns}, **_parsed_types(df, free)}.items()])
+
+
+def _parsed_types(df: DataFrame, cols: Sequence[str]) -> dict[str, str]:
+    """bigint, double or string per text column: the narrowest that parses every value; all-null columns stay text."""
+    if not cols:
+        return {}
+    whole = [F.count(F.when(name(c).rlike(r"^\s*[+-]?\d{1,18}\s*$"), 1)).alias(f"w{i}") for i, c in enumerate(cols)]
+    real = [F.count(F.expr(f"try_cast({quoted(c)} as double)")).alias(f"r{i}") for i, c in enumerate(cols)]
+    have = [F.count(name(c)).alias(f"n{i}") for i, c in enumerate(cols)]
+    row = df.agg(*whole, *real, *have).first()
+    return {
+        c: "string" if not row[f"n{i}"] else "bigint" if row[f"w{i}"] == row[f"n{i}"] else "double" if row[f"r{i}"] == row[f"n{i}"] else "string"
+        for i, c in enumerate(cols)
+    }
 
 
 def role_table(df: DataFrame, spec: TableSpec) -> DataFrame:

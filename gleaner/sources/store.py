@@ -50,3 +50,12 @@ def write_ranking(ranking: DataFrame, base: str, dataset: str, measure: str) ->
 def pending(catalog: DataFrame, finished: DataFrame, on: str = "dataset") -> DataFrame:
     """Catalog rows without a finished result."""
     return catalog.join(finished.select(on).distinct(), on, "left_anti")
+
+
+def ranked_datasets(spark: SparkSession, base: str) -> DataFrame:
+    """Datasets with a stored ranking, from folder names; none if nothing is stored yet."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{base}/ranking")
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [x.getPath().getName() for x in fs.listStatus(path)] if fs.exists(path) else []
+    found = [(n.removeprefix("dataset="),) for n in names if n.startswith("dataset=")]
+    return spark.createDataFrame(found, "dataset string")

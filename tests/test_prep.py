@@ -100,6 +100,13 @@ def test_catalog_and_csv_load(spark, tmp_path):
     assert cat.count() == 1 and row["dataset"] == "one"
     got = S.load_table(spark, TableSpec.from_row(row), str(tmp_path))
     assert [tuple(r) for r in got.collect()] == [(1.5, "a"), (None, "b"), (2.5, None)]
+    (tmp_path / "n.csv").write_text("x,c,t\n1,9,9\n2,10,a\n3,-1,10\n")
+    typed = S.load_table(spark, TableSpec(numerical=("x",), categorical=("c", "t"), path="n.csv"), str(tmp_path))
+    assert dict(typed.dtypes) == {"x": "double", "c": "bigint", "t": "string"}
+    assert prep.levels(typed, ["c"])["c"] == ["-1", "9", "10"]
+    spark.createDataFrame([("NA",), ("None",), (None,)], "c string").write.parquet(str(tmp_path / "p.parquet"))
+    kept = S.load_table(spark, TableSpec(categorical=("c",), numerical=(), path="p.parquet"), str(tmp_path))
+    assert {r["c"] for r in kept.collect()} == {"NA", "None", None}
     counts = S.catalog_counts(cat).first()
     assert (counts["n_numerical"], counts["n_categorical"]) == (1, 1)
     with pytest.raises(ValueError, match="absent"):

@@ -18,8 +18,6 @@ def test_candidates_stay_in_range(spark):
             for k, kind in space[alg].items():
                 v = r["params"][f"{k}___{alg}"]
                 assert v in kind[1] if kind[0] == "cat" else kind[1] <= float(v) <= kind[2]
-        if r["params"].get("linkage___AgglomerativeClustering") == "ward":
-            assert r["params"]["affinity___AgglomerativeClustering"] == "euclidean"
     again = search.candidates(spark, 200, list(search.CLUSTERERS), list(search.SELECTORS)).collect()
     assert rows == again
     with pytest.raises(ValueError):
@@ -68,6 +66,29 @@ def test_sweep_skips_finished(spark):
     assert {r["dataset"] for r in out} == {"b"} and out[0]["pair"] == "KMeans_NullModel"
 
 
+def test_sweep_stores_and_resumes(spark, tmp_path):
+    d = synth.blobs(synth.ids(spark, 100), 2, 2).drop("label").cache()
+    sets, base = {"a": (d, "row_id", ["f0", "f1"])}, str(tmp_path)
+    args = (2, ["calinski_harabasz", "davies_bouldin"], ["KMeans"], ["NullModel"], None)
+    out = search.sweep(spark, sets, *args, base=base).collect()
+    assert {r["measure"] for r in out} == {"calinski_harabasz", "davies_bouldin"}
+    assert spark.read.parquet(f"{base}/history").count() == 4
+    assert spark.read.parquet(f"{base}/labels").filter("measure = 'davies_bouldin'").count() == 100
+    assert search.sweep(spark, sets, *args, base=base).count() == 0
+
+
+def test_every_choice_runs(spark):
+    """Every value of every categorical parameter."""
+    d = synth.blobs(synth.ids(spark, 60), 2, 2).drop("label").cache()
+    given = {"n_clusters": "2", "n_components": "2", "min_samples": "5", "eps": "0.5", "bandwidth": "3.0"}
+    for clusterer, space in search.CLUSTERERS.items():
+        for name, kind in space.items():
+            for choice in kind[1] if kind[0] == "cat" and len(kind[1]) > 1 else ():
+                params = {f"{k}___{clusterer}": v for k, v in given.items() if k in space} | {f"{name}___{clusterer}": choice}
+                labels, _, _ = search.run_candidate(d, "row_id", ["f0", "f1"], "NullModel", clusterer, params)
+                assert labels.count() == 60, (clusterer, name, choice)
+
+
 def test_batch_keeps_going(spark, tmp_path):
     good = spark.createDataFrame([(1, 1.0), (2, 3.0)], "id long, x double")
     out = batch.prepare_many(

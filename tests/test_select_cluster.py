@@ -60,7 +60,7 @@ def test_spectral_scores_match_dense(mixed):
     cut, generic, fixed = dense_spec(x)
     assert np.allclose(scores(S.normalized_cut(d, "id", cols)), cut)
     assert np.allclose(scores(S.generic_spec(d, "id", cols)), generic)
-    assert np.allclose(scores(S.fixed_spec(d, "id", cols, 3, steps=6)), fixed, atol=1e-4)
+    assert np.allclose(scores(S.fixed_spec(d, "id", cols, 3)), fixed, atol=1e-4)
 
 
 def test_random_features_are_close(mixed):
@@ -86,7 +86,7 @@ def test_mcfs_matches_dense_embedding(spark):
     rng = np.random.default_rng(4)
     x = np.vstack([rng.normal(c, 0.6, (50, 3)) for c in (0, 2, 4)])
     d, cols = frame(spark, x)
-    vec, lam, _ = S.knn_embedding(d, "id", cols, 3, steps=6)
+    vec, lam, _ = S.knn_embedding(d, "id", cols, 3)
     v = vec.orderBy("id").toPandas()[["v0", "v1", "v2"]].to_numpy()
     a = np.column_stack([x, np.ones(150)])
     want = np.abs(np.linalg.lstsq(a, v, rcond=None)[0][:3]).max(1)

@@ -12,6 +12,7 @@ Words are tokenised one by one, so a word's tokens are remembered within a task.
 from __future__ import annotations
 
 import base64
+from array import array
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructType
 
-from .common import CACHE, WordHashes, gram_hashes, raw_text
+from .common import CACHE, gram_hashes, mix, raw_text
 
 MIN_WORDS = 50
 MAX_REPEATED = 50  # percent of words in repeated 3-word windows
@@ -86,26 +87,32 @@ class Vocabularies:
         self.bytes = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.pieces = sentencepiece.SentencePieceProcessor(model_file=pieces_path)
         self.is_byte = np.array([self.pieces.is_byte(i) for i in range(self.pieces.vocab_size())])
-        self.counts: dict[bytes, int] = {}
-        self.ids: dict[bytes, bytes] = {}
-
-    def measure(self, words: list[bytes]) -> tuple[int, np.ndarray]:
-        """Number of byte-level tokens, and the pieces."""
-        new = [w for w in dict.fromkeys(words) if w not in self.ids]
-        if len(self.ids) + len(new) > CACHE:
-            self.ids.clear()
-            self.counts.clear()
-            new = list(dict.fromkeys(words))
-        texts = [w.decode(errors="replace") for w in new]
-        for w, t, p in zip(new, texts, self.pieces.encode(texts, num_threads=1) if texts else (), strict=True):
-            self.counts[w] = len(self.bytes.encode_ordinary(" " + t))
-            self.ids[w] = np.array(p, "<u4").tobytes()
-        pieces = np.frombuffer(b"".join(map(self.ids.__getitem__, words)), "<u4")
-        return sum(map(self.counts.__getitem__, words)), pieces
-
-
-def base_counts(text: bytes, words: list[bytes], hashes: WordHashes) -> tuple[int, int, int, int]:
-    """Characters in words, symbols, lines that repeat an earlier one, words in repeated 3-word windows."""
+        self.known: dict[bytes, tuple[bytes, int]] = {}
+
+    def measure(self, words: list[bytes], times: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
+        """Of distinct words and how often each occurs: byte-level tokens, distinct pieces, and how often each occurs."""
+        new = [w for w in words if w not in self.known]
+        if len(self.known) + len(new) > CACHE:
+            self.known.clear()
+            new = words
+        if new:
+            texts = [w.decode(errors="replace") for w in new]
+            encode = self.bytes.encode_ordinary
+            for w, t, p in zip(new, texts, self.pieces.encode(texts, num_threads=1), strict=True):
+                self.known[w] = array("I", p).tobytes(), len(encode(" " + t))
+        found = [self.known[w] for w in words]
+        tokens = int(np.fromiter([n for _, n in found], np.int64, len(found)) @ times)
+        pieces = np.frombuffer(b"".join([p for p, _ in found]), np.uint32)
+        sizes = np.fromiter([len(p) for p, _ in found], np.int64, len(found)) // 4
+        distinct, back = np.unique(pieces, return_inverse=True)
+        return tokens, distinct, np.bincount(back, np.repeat(times, sizes), len(distinct))
+
+
+def base_counts(text: bytes, words: list[bytes], codes: np.ndarray) -> tuple[int, int, int, int]:
+    """Characters in words, symbols, lines that repeat an earlier one, words in repeated 3-word windows.
+
+    ``codes`` numbers the words: equal words have equal numbers.
+    """
     raw = np.frombuffer(b"".join(words), np.uint8)
     chars = int(((raw & 0xC0) != 0x80).sum())
     symbols = sum(text.count(c) for c in (SYMBOLS[i : i + 1] for i in range(len(SYMBOLS))))
@@ -116,8 +123,7 @@ def base_counts(text: bytes, words: list[bytes], hashes: WordHashes) -> tuple[in
             seen.add(line)
     repeated = 0
     if len(words) > 3:
-        grams = gram_hashes(hashes.array(words), 3)
-        _, inverse, times = np.unique(grams, return_inverse=True, return_counts=True)
+        _, inverse, times = np.unique(gram_hashes(mix(codes + np.uint64(1)), 3), return_inverse=True, return_counts=True)
         hit = np.flatnonzero(times[inverse] > 1)
         covered = np.zeros(len(words), bool)
         for k in range(3):
@@ -134,17 +140,19 @@ def assess(ranks_path: str, pieces_path: str, bands: dict[str, Band] = BANDS) ->
     @F.arrow_udf(FOUND)
     def found(texts: pa.Array, langs: pa.Array) -> pa.Array:
         if not state:
-            state.update(vocabularies=Vocabularies(ranks_path, pieces_path), hashes=WordHashes())
-        vocabularies, hashes, out = state["vocabularies"], state["hashes"], []
+            state["vocabularies"] = Vocabularies(ranks_path, pieces_path)
+        vocabularies, out = state["vocabularies"], []
         for text, lang in zip(texts, langs, strict=True):
             text, lang = text.as_py(), lang.as_py()
             words = text.split()
-            chars, symbols, duplicates, repeated = base_counts(text, words, hashes)
-            tokens, pieces = vocabularies.measure(words)
-            n = len(pieces)
-            share = np.unique(pieces, return_counts=True)[1] / max(n, 1)
+            numbers = {w: i for i, w in enumerate(dict.fromkeys(words))}
+            codes = np.fromiter(map(numbers.__getitem__, words), np.int64, len(words))
+            chars, symbols, duplicates, repeated = base_counts(text, words, codes.view(np.uint64))
+            tokens, pieces, counts = vocabularies.measure(list(numbers), np.bincount(codes, minlength=len(numbers)))
+            n = counts.sum()
+            share = counts / max(n, 1)
             per_token = chars / tokens if tokens else 0.0
-            byte_share = float(vocabularies.is_byte[pieces].mean()) if n else 0.0
+            byte_share = float(share[vocabularies.is_byte[pieces]].sum())
             entropy = float(-(share * np.log2(share)).sum()) + 0.0
             name = lang if lang in bands else script_of(text.decode(errors="replace"))
             band = bands[name]

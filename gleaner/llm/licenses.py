@@ -11,6 +11,7 @@ only paragraphs with such n-grams go on; all others have the constant score of a
 
 from __future__ import annotations
 
+import json
 import math
 from dataclasses import dataclass
 
@@ -151,7 +152,7 @@ def training_set(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     unknown = like.filter(F.size("own") > 0).select(
         F.lit(UNKNOWN).alias("family"), "own", F.pmod(F.xxhash64("text"), F.lit(5)).cast("int").alias("part")
     )
-    return cut(known.unionByName(unknown))
+    return cut(known.unionByName(unknown).coalesce(1))  # a bounded sample: one file, one task for each round of the fit
 
 
 @dataclass(frozen=True)
@@ -185,8 +186,9 @@ def train(docs: DataFrame, id_col: str, text_col: str) -> Model:
         (int(h), [float(x) for x in matrix[:, k]] + [0.0] * (len(FAMILIES) - have))
         for k, h in enumerate(vectors.vocabulary) if matrix[:, k].any()
     ]
-    values = ", ".join(f"({h}L, array({', '.join(f'{x!r}D' for x in w)}))" for h, w in rows)
-    weights = spark.sql(f"SELECT * FROM VALUES {values} AS t(h, w)")
+    text = json.dumps([{"h": h, "w": w} for h, w in rows])
+    table = F.inline(F.from_json(F.lit(text), "array<struct<h: bigint, w: array<double>>>"))
+    weights = spark.range(1).select(table)  # at most VOCABULARY rows
     raw = regression.transform(vectors.transform(unseen)).select(vector_to_array("rawPrediction").alias("raw"), "label")
     temperature = _temperature([(r["raw"], int(r["label"])) for r in raw.collect()])  # a bounded sample
     return Model(cut(weights), tuple(float(x) for x in intercepts), temperature)

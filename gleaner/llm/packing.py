@@ -9,7 +9,9 @@ rank among the pieces of their length, by counts per partition, and the plan lin
 
 from __future__ import annotations
 
+import re
 import zlib
+from array import array
 from bisect import bisect_right
 from collections.abc import Iterable, Iterator
 
@@ -23,11 +25,25 @@ from .common import CACHE, column_type, map_rows
 CAPACITY = 2_048
 
 
-class ChunkIds(dict):
-    """Token ids (little-endian 32-bit) of a stretch without blanks, remembered within a task.
+def _byte_letters() -> list[str]:
+    """The letter that stands for each byte in a byte-level vocabulary: itself if visible, else the next one from 256 on."""
+    visible = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = iter(range(256, 512))
+    return [chr(b) if b in visible else chr(next(hidden)) for b in range(256)]
 
-    The tokenizer never merges across a blank or a line feed, and a blank itself gives no token, so the ids of a text are
-    those of its stretches in order.
+
+# The vocabulary's own splitting rule, written out for characters up to U+017F.
+_LETTERS, _DIGITS = "a-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f", "0-9\u00b2\u00b3\u00b9\u00bc-\u00be"
+_SPLIT = re.compile(f"[{_LETTERS}]+|'(?:s|t|re|ve|m|ll|d)|[{_DIGITS}]|[^ {_LETTERS}{_DIGITS}]+")
+_LAST = 0x17F
+
+
+class TokenIds(dict):
+    """Token ids (little-endian 32-bit) of the parts that the vocabulary's splitting rule gives, remembered within a task.
+
+    Text of visible characters up to U+017F (which composition leaves alone and lower case maps one to one) is split here,
+    and only new parts go to the merge rules. Other stretches between blanks go through the tokenizer as a whole: it never
+    merges across a blank, and a blank itself gives no token. Both ways give the tokenizer's ids for the text.
     """
 
     def __init__(self, path: str):
@@ -35,23 +51,40 @@ class ChunkIds(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.room = 0
+        self.merge = self.tokenizer.model.tokenize
+        self.letters = _byte_letters()
+        self.room = CACHE
+
+    def __missing__(self, part: str) -> bytes:
+        letters = self.letters
+        same = part if part.isascii() else "".join([letters[b] for b in part.encode()])
+        ids = array("I", [t.id for t in self.merge(same)]).tobytes()
+        self.room -= 1 + len(part) // 16
+        if self.room < 0:  # start anew; long parts use the room up sooner
+            self.clear()
+            self.room = CACHE
+        self[part] = ids
+        return ids
+
+    @staticmethod
+    def plain(text: str) -> bool:
+        if not text.isprintable() or "<|" in text:
+            return False
+        if text.isascii():
+            return True
+        return "\u0130" not in text and int(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").max()) <= _LAST
 
     def of(self, text: str) -> bytes:
-        chunks = text.replace("\n", " ").split(" ")
-        try:
-            return b"".join(map(self.__getitem__, chunks))
-        except KeyError:
-            new = [c for c in dict.fromkeys(chunks) if c not in self]
-            self.room -= len(new) + sum(map(len, new)) // 16
-            if self.room < 0:  # start anew; long stretches use the room up sooner
-                self.clear()
-                self[""] = b""
-                self.room = CACHE
-                new = [c for c in dict.fromkeys(chunks) if c]
-            for c, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-                self[c] = np.array(e.ids, "<u4").tobytes()
-            return b"".join(map(self.__getitem__, chunks))
+        text = text.replace("\n", " ")
+        if self.plain(text):
+            return b"".join(map(self.__getitem__, _SPLIT.findall(text.lower())))
+        out = []
+        for stretch in text.split(" "):
+            if self.plain(stretch):
+                out += map(self.__getitem__, _SPLIT.findall(stretch.lower()))
+            else:
+                out.append(np.array(self.tokenizer.encode(stretch, add_special_tokens=False).ids, "<u4").tobytes())
+        return b"".join(out)
 
 
 def pieces(docs: DataFrame, id_col: str, text_col: str, vocabulary: str, capacity: int, end_id: int) -> DataFrame:
@@ -59,9 +92,9 @@ def pieces(docs: DataFrame, id_col: str, text_col: str, vocabulary: str, capacit
     kind = column_type(docs, id_col)
 
     def each(rows: Iterable[tuple]) -> Iterator[tuple]:
-        chunks, end, step = ChunkIds(vocabulary), np.array([end_id], "<u4").tobytes(), 4 * capacity
+        known, end, step = TokenIds(vocabulary), np.array([end_id], "<u4").tobytes(), 4 * capacity
         for key, text in rows:
-            ids = chunks.of(text) + end
+            ids = known.of(text) + end
             for piece, at in enumerate(range(0, len(ids), step)):
                 part = ids[at : at + step]
                 yield key, piece, at // 4, len(part) // 4, zlib.crc32(part)

@@ -1,11 +1,13 @@
 """Parts of operators that are plain functions."""
 
 import numpy as np
+import public_tokenizers
 from hypothesis import given, settings, strategies as st
 
 from gleaner.llm import gru, packing, suffix
 from gleaner.llm.common import Ranges, WordHashes, gram_hashes, runs_of, sliding_min, union_spans, winnow
 
+TOKENS = packing.TokenIds(public_tokenizers.path("word_bpe_49k.json"))
 texts = st.lists(st.text("ab", min_size=24, max_size=60).map(str.encode), min_size=1, max_size=6)
 
 
@@ -115,3 +117,16 @@ def test_gradients_match_differences():
         down = loss()
         flat[i] = keep
         assert abs((up - down) / (2 * e) - want) < 2e-3 * max(1, abs(want) * 20), name
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.text(st.one_of(st.characters(max_codepoint=0x250), st.sampled_from("'sStTreRvmlLd .,<|>\n\u0130\u0131\u0301\u03a3漢\u2003\u00a0\u1e9e"))))
+def test_token_ids_are_the_tokenizers(text):
+    ids = TOKENS.of(text)
+    want = TOKENS.tokenizer.encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(ids, "<u4").tolist() == want
+
+
+def test_special_token_texts():
+    for text in ("a<|endoftext|>b", "<|startoftext|> It's <|", "It'LL 'store ''s ½2² \x1c\x85x"):
+        assert np.frombuffer(TOKENS.of(text), "<u4").tolist() == TOKENS.tokenizer.encode(text, add_special_tokens=False).ids

@@ -21,7 +21,7 @@ def features(token: bytes) -> tuple[int, np.ndarray]:
     text = f"<{word[:64].decode(errors='replace')}>"
     grams = {text[i : i + n].encode() for n in GRAMS for i in range(len(text) - n + 1)} or {text.encode()}
     h = xxhash.xxh32_intdigest
-    return h(word) % WORD_BUCKETS, np.array(sorted(h(g, 7) % CHAR_BUCKETS for g in grams), np.int64)
+    return h(word) % WORD_BUCKETS, np.array(sorted(h(g, 7) % CHAR_BUCKETS for g in grams), np.int32)
 
 
 def flat(grams: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -83,10 +83,14 @@ def train(texts: list[tuple[bytes, int]], seed: int = 1) -> dict[str, np.ndarray
     words = Words()
     at, valid, owner = [], [], []
     for i, (text, _) in enumerate(texts):
-        rows = words.of(text.split())
-        starts = window_starts(len(rows))
+        tokens = text.split()
+        starts = window_starts(len(tokens))
         if len(starts) > TRAIN_WINDOWS:
             starts = starts[np.linspace(0, len(starts) - 1, TRAIN_WINDOWS).astype(np.int64)]
+        used = np.zeros(max(len(tokens), 1), bool)
+        used[np.minimum(starts[:, None] + np.arange(WINDOW), len(used) - 1)] = True
+        rows = np.zeros(len(tokens), np.int64)  # words outside the windows are not looked up
+        rows[used[: len(tokens)]] = words.of([t for t, u in zip(tokens, used.tolist(), strict=False) if u])
         a, v = _windows(rows, starts)
         at.append(a), valid.append(v), owner.append(np.full(len(starts), i))
     at, valid, owner = np.concatenate(at, 1), np.concatenate(valid, 1), np.concatenate(owner)
@@ -119,9 +123,13 @@ def _worst(logits: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
 
 
 def _logits(p: dict, buckets: np.ndarray, grams: list[np.ndarray], at: np.ndarray, valid: np.ndarray) -> np.ndarray:
-    _, table = inputs(p, buckets, grams)
-    parts = range(0, at.shape[1], SCORED)
-    return np.concatenate([forward(p, table[at[:, k : k + SCORED]], valid[:, k : k + SCORED]) for k in parts])
+    """Logits of many windows, embedding the words of a few windows at a time."""
+    out = []
+    for k in range(0, at.shape[1], SCORED):
+        uniq, back = np.unique(at[:, k : k + SCORED], return_inverse=True)
+        _, table = inputs(p, buckets[uniq], [grams[u] for u in uniq.tolist()])
+        out.append(forward(p, table[back.reshape(WINDOW, -1)], valid[:, k : k + SCORED]))
+    return np.concatenate(out)
 
 
 def _calibrate(x: np.ndarray, y: np.ndarray) -> np.ndarray:

@@ -9,25 +9,41 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
+from .common import mix
+
 WORD_BUCKETS, CHAR_BUCKETS = 1 << 14, 1 << 15
 WORD_DIM, CHAR_DIM, HIDDEN, ATTENTION = 8, 12, 10, 8
 GRAMS = range(3, 7)
 EDGES = b".,;:!?|\"'()[]{}<>*#$%&-_/"
 
 
-def features(token: bytes) -> tuple[int, np.ndarray]:
-    """Bucket of the folded word and of its character n-grams."""
-    word = token.lower().strip(EDGES) or token
-    text = f"<{word[:64].decode(errors='replace')}>"
-    grams = {text[i : i + n].encode() for n in GRAMS for i in range(len(text) - n + 1)} or {text.encode()}
-    h = xxhash.xxh32_intdigest
-    return h(word) % WORD_BUCKETS, np.array(sorted(h(g, 7) % CHAR_BUCKETS for g in grams), np.int32)
-
-
-def flat(grams: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All n-grams of a list of words, where each word begins, and the scale of each word's sum."""
-    sizes = np.array([len(g) for g in grams], np.int64)
-    return np.concatenate(grams), np.cumsum(sizes) - sizes, (1 / np.sqrt(sizes)).astype(np.float32)
+def features(tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each token: bucket of the folded word, buckets of its byte n-grams one after the other, and their number."""
+    folded = [t.lower().strip(EDGES) or t for t in tokens]
+    words = np.fromiter((xxhash.xxh32_intdigest(w) for w in folded), np.int64, len(folded)) % WORD_BUCKETS
+    texts = [b"<" + w[:64] + b">" for w in folded]
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+    raw = np.frombuffer(b"".join(texts), np.uint8).astype(np.uint64) + np.uint64(1)
+    owner = np.repeat(np.arange(len(texts)), sizes)
+    left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(raw))  # bytes up to the end of the word
+    h, found, owners = raw, [], []
+    for n in range(2, GRAMS.stop):
+        h = h[:-1] * np.uint64(0x9E3779B97F4A7C15) + raw[n - 1 :]
+        if n in GRAMS:
+            inside = np.flatnonzero(left[: len(h)] >= n)
+            found.append((mix(h[inside]) % np.uint64(CHAR_BUCKETS)).astype(np.int32))
+            owners.append(owner[inside])
+    owners = np.concatenate(owners)
+    order = np.argsort(owners, kind="stable")
+    return words, np.concatenate(found)[order], np.bincount(owners, minlength=len(texts))
+
+
+def sums_by(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys and the sums of their rows of ``values``."""
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+    return keys[first], np.add.reduceat(values[order], first, axis=0)
 
 
 def fresh(seed: int) -> dict[str, np.ndarray]:
@@ -43,10 +59,10 @@ def fresh(seed: int) -> dict[str, np.ndarray]:
     }
 
 
-def inputs(p: dict, words: np.ndarray, grams: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Embedded words (n, d) and their gate inputs (n, 6 hidden)."""
-    every, starts, scale = flat(grams)
-    x = np.concatenate([p["word"][words], np.add.reduceat(p["char"][every], starts, axis=0) * scale[:, None]], axis=1)
+def inputs(p: dict, words: np.ndarray, grams: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Embedded words (n, d) and their gate inputs (n, 6 hidden); ``grams`` holds ``sizes[i]`` n-grams of word i in turn."""
+    sums = np.add.reduceat(p["char"][grams], np.cumsum(sizes) - sizes, axis=0)
+    x = np.concatenate([p["word"][words], sums * (sizes**-0.5).astype(sums.dtype)[:, None]], axis=1)
     return x, x @ p["win"] + p["bin"]
 
 
@@ -113,9 +129,11 @@ def _scan_back(d_out: np.ndarray, u: np.ndarray, order: range, kept: list) -> tu
     return d_gates, d_u
 
 
-def gradients(p: dict, words: np.ndarray, grams: list[np.ndarray], at: np.ndarray, valid: np.ndarray, y: np.ndarray) -> dict:
+def gradients(
+    p: dict, words: np.ndarray, grams: np.ndarray, sizes: np.ndarray, at: np.ndarray, valid: np.ndarray, y: np.ndarray
+) -> dict:
     """Gradient of the mean log loss of windows ``at`` (time, batch: rows of ``words``)."""
-    x, table = inputs(p, words, grams)
+    x, table = inputs(p, words, grams, sizes)
     tape: dict = {}
     logits = forward(p, table[at], valid, tape)
     steps, h, g = len(at), HIDDEN, {}
@@ -133,13 +151,13 @@ def gradients(p: dict, words: np.ndarray, grams: list[np.ndarray], at: np.ndarra
     gf, g["uf"] = _scan_back(d_both[:, :, :h], p["uf"], range(steps - 1, -1, -1), tape["kept_f"])
     gb, g["ub"] = _scan_back(d_both[:, :, h:], p["ub"], range(steps), tape["kept_b"])
     d_gates = (np.concatenate([gf, gb], axis=2) * valid[:, :, None]).reshape(-1, 6 * h)
+    rows, sums = sums_by(at.ravel(), d_gates)
     d_table = np.zeros_like(table)
-    np.add.at(d_table, at.ravel(), d_gates)
+    d_table[rows] = sums
     g["win"], g["bin"] = x.T @ d_table, d_table.sum(0)
     d_x = d_table @ p["win"].T
-    every, _, scale = flat(grams)
-    sizes = np.array([len(v) for v in grams])
-    g["word"], g["char"] = (words, d_x[:, :WORD_DIM]), (every, np.repeat(d_x[:, WORD_DIM:] * scale[:, None], sizes, axis=0))
+    d_char = d_x[:, WORD_DIM:] * (sizes**-0.5).astype(d_x.dtype)[:, None]
+    g["word"], g["char"] = (words, d_x[:, :WORD_DIM]), (grams, np.repeat(d_char, sizes, axis=0))
     return g
 
 
@@ -155,10 +173,7 @@ class Adam:
         for k, d in g.items():
             rows = slice(None)
             if isinstance(d, tuple):  # embeddings: only the rows that took part
-                rows, back = np.unique(d[0], return_inverse=True)
-                total = np.zeros((len(rows), d[1].shape[1]), np.float32)
-                np.add.at(total, back, d[1])
-                d = total
+                rows, d = sums_by(*d)
             m = self.m[k][rows] = 0.9 * self.m[k][rows] + 0.1 * d
             v = self.v[k][rows] = 0.999 * self.v[k][rows] + 0.001 * d * d
             p[k][rows] -= (rate * m / (np.sqrt(v) + 1e-8)).astype(np.float32)

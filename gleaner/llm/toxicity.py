@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, functions as F
 from .common import column_type, map_rows, raw_text
 from .gru import HIDDEN, Adam, features, forward, fresh, gradients, inputs
 
-WINDOW, STRIDE = 48, 24
+WINDOW, STRIDE = 64, 48
 TRAIN_DOCS, TRAIN_WINDOWS = 6_000, 12  # bounds of the fitted sample
 EPOCHS, BATCH, RATE = 7, 128, 0.01
 SCORED = 1_024  # windows scored at a time
@@ -34,22 +34,39 @@ def window_starts(n: int) -> np.ndarray:
 
 
 class Words:
-    """Rows of distinct tokens."""
+    """Rows of distinct tokens with their features."""
 
     def __init__(self):
         self.rows: dict[bytes, int] = {}
-        self.words: list[int] = []
-        self.grams: list[np.ndarray] = []
+        self.held: list[list[bytes]] = []  # tokens whose features are still to be taken
 
     def of(self, tokens: list[bytes]) -> np.ndarray:
-        for t in dict.fromkeys(tokens):
-            if t not in self.rows:
-                self.rows[t] = len(self.words)
-                w, g = features(t)
-                self.words.append(w)
-                self.grams.append(g)
+        new = [t for t in dict.fromkeys(tokens) if t not in self.rows]
+        if new:
+            self.rows.update(zip(new, range(len(self.rows), len(self.rows) + len(new)), strict=True))
+            self.held.append(new)
         return np.fromiter(map(self.rows.__getitem__, tokens), np.int64, len(tokens))
 
+    def take(self) -> list[bytes]:
+        """The tokens that are new since the last call, in the order of their rows."""
+        new = [t for part in self.held for t in part]
+        self.held = []
+        return new
+
+
+class Table:
+    """Features of all words of a sample; ``of(rows)`` picks some words."""
+
+    def __init__(self, tokens: list[bytes]):
+        parts = [features(tokens[k : k + 50_000]) for k in range(0, len(tokens), 50_000)]
+        self.words, self.grams, self.sizes = (np.concatenate(x) for x in zip(*parts, strict=True))
+        self.starts = np.cumsum(self.sizes) - self.sizes
+
+    def of(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        sizes = self.sizes[rows]
+        at = np.repeat(self.starts[rows] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+        return self.words[rows], self.grams[at], sizes
+
 
 def _windows(rows: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(time, window) rows and which of them are words."""
@@ -94,13 +111,14 @@ def train(texts: list[tuple[bytes, int]], seed: int = 1) -> dict[str, np.ndarray
         a, v = _windows(rows, starts)
         at.append(a), valid.append(v), owner.append(np.full(len(starts), i))
     at, valid, owner = np.concatenate(at, 1), np.concatenate(valid, 1), np.concatenate(owner)
-    buckets, grams = np.array(words.words), words.grams
+    table = Table(words.take() or [b"."])
+    del words
     unseen = np.arange(len(texts)) % 5 == 4  # kept for the document score
     adam = Adam(p, RATE)
     for epoch in range(EPOCHS):
         use = ~unseen[owner]
         if epoch >= 2:
-            logits = _logits(p, buckets, grams, at, valid)
+            logits = _logits(p, table, at, valid)
             worst = _worst(logits, owner, len(texts))
             toxic = labels[owner] == 1
             use &= np.where(toxic, (logits >= worst[owner]) | (logits > 0), (logits >= worst[owner]) | (rng.random(len(owner)) < 0.3))
@@ -109,9 +127,9 @@ def train(texts: list[tuple[bytes, int]], seed: int = 1) -> dict[str, np.ndarray
         for k in range(0, len(order), BATCH):
             b = order[k : k + BATCH]
             uniq, back = np.unique(at[:, b], return_inverse=True)
-            g = gradients(p, buckets[uniq], [grams[u] for u in uniq.tolist()], back.reshape(WINDOW, -1), valid[:, b], labels[owner[b]])
+            g = gradients(p, *table.of(uniq), back.reshape(WINDOW, -1), valid[:, b], labels[owner[b]])
             adam.step(p, g)
-    worst = _worst(_logits(p, buckets, grams, at, valid), owner, len(texts))
+    worst = _worst(_logits(p, table, at, valid), owner, len(texts))
     p["score"] = _calibrate(worst[unseen], labels[unseen])
     return p
 
@@ -122,13 +140,13 @@ def _worst(logits: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
     return worst
 
 
-def _logits(p: dict, buckets: np.ndarray, grams: list[np.ndarray], at: np.ndarray, valid: np.ndarray) -> np.ndarray:
+def _logits(p: dict, table: Table, at: np.ndarray, valid: np.ndarray) -> np.ndarray:
     """Logits of many windows, embedding the words of a few windows at a time."""
     out = []
     for k in range(0, at.shape[1], SCORED):
         uniq, back = np.unique(at[:, k : k + SCORED], return_inverse=True)
-        _, table = inputs(p, buckets[uniq], [grams[u] for u in uniq.tolist()])
-        out.append(forward(p, table[back.reshape(WINDOW, -1)], valid[:, k : k + SCORED]))
+        _, gates = inputs(p, *table.of(uniq))
+        out.append(forward(p, gates[back.reshape(WINDOW, -1)], valid[:, k : k + SCORED]))
     return np.concatenate(out)
 
 
@@ -167,7 +185,7 @@ class Scorer:
         else:
             for k in range(0, len(starts), SCORED):
                 part = starts[k : k + SCORED]
-                if len(self.words.words) > TABLE:
+                if len(self.words.rows) > TABLE:
                     self.flush()
                     self.reset()
                 rows = self.words.of(tokens[part[0] : part[-1] + WINDOW])
@@ -186,10 +204,13 @@ class Scorer:
     def flush(self) -> None:
         if not self.size:
             return
-        have = len(self.table)
-        if have < len(self.words.words):
-            _, new = inputs(self.p, np.array(self.words.words[have:]), self.words.grams[have:])
-            self.table = np.concatenate([self.table, new])
+        if new := self.words.take():
+            have = len(self.words.rows) - len(new)
+            if len(self.words.rows) > len(self.table):  # room for twice as many
+                self.table = np.concatenate([self.table[:have], np.empty((2 * len(self.words.rows) - have, 6 * HIDDEN), np.float32)])
+            for k in range(0, len(new), 20_000):
+                part = new[k : k + 20_000]
+                self.table[have + k : have + k + len(part)] = inputs(self.p, *features(part))[1]
         logits = forward(self.p, self.table[np.concatenate(self.at, 1)], np.concatenate(self.valid, 1)).tolist()
         for doc, x in zip(self.owners, logits, strict=True):
             doc[1] -= 1

@@ -90,16 +90,16 @@ def test_two_pieces_replace_the_smallest():
 def test_gradients_match_differences():
     rng = np.random.default_rng(0)
     p = {k: v.astype(np.float64) for k, v in gru.fresh(3).items()}
-    words, grams = np.array([3, 5, 9]), [np.array([1, 2]), np.array([2]), np.array([7, 8, 9])]
+    words, grams, sizes = np.array([3, 5, 9]), np.array([1, 2, 2, 7, 8, 9]), np.array([2, 1, 3])
     at = rng.integers(0, 3, (6, 4))
     valid = np.arange(6)[:, None] < np.array([6, 3, 1, 5])
     y = np.array([1, 0, 1, 0])
 
     def loss():
-        z = gru.forward(p, gru.inputs(p, words, grams)[1][at], valid)
+        z = gru.forward(p, gru.inputs(p, words, grams, sizes)[1][at], valid)
         return float(np.mean(np.log1p(np.exp(z)) - y * z))
 
-    g = gru.gradients(p, words, grams, at, valid, y)
+    g = gru.gradients(p, words, grams, sizes, at, valid, y)
     for name in ("win", "bin", "uf", "ub", "wa", "va", "out", "bias", "word", "char"):
         flat = p[name].reshape(-1)
         if isinstance(g[name], tuple):

@@ -276,15 +276,18 @@ def mutual_information(df: DataFrame, cols: Sequence[str], target: str) -> DataF
 
 # Public names of the manual meta-features, group by group.
 _SIX = ("min", "max", "median", "mean", "first_quartile", "third_quartile")
-METAFEATURES = (
-    "number_of_instances", "log_number_of_instances", "number_of_missing_values",
-    "missing_values_ratio", "sparsity", "number_of_features", "log_number_of_features",
-    "dataset_ratio", "log_dataset_ratio", "number_of_classes", "entropy_of_classes",
-    "sparsity_on_numeric_columns",
-    *[f"{s}_{k}" for k in ("skewness", "kurtosis", "correlation", "covariance") for s in _SIX],
-    "pca_fraction_of_components_for_variance", "pca_kurtosis_first_pc", "pca_skewness_first_pc",
-    *[f"{s}_{k}" for k in ("entropy", "mutual_information") for s in _SIX],
-)
+GROUPS = {
+    "general": (
+        "number_of_instances", "log_number_of_instances", "number_of_missing_values", "missing_values_ratio", "sparsity",
+    ),
+    "shape": ("number_of_features", "log_number_of_features", "dataset_ratio", "log_dataset_ratio"),
+    "labels": ("number_of_classes", "entropy_of_classes"),
+    "numeric_sparsity": ("sparsity_on_numeric_columns",),
+    **{k: tuple(f"{s}_{k}" for s in _SIX) for k in ("skewness", "kurtosis", "correlation", "covariance")},
+    "pca": ("pca_fraction_of_components_for_variance", "pca_kurtosis_first_pc", "pca_skewness_first_pc"),
+    **{k: tuple(f"{s}_{k}" for s in _SIX) for k in ("entropy", "mutual_information")},
+}
+METAFEATURES = tuple(name for names in GROUPS.values() for name in names)
 
 
 def vector(df: DataFrame, spec: TableSpec, names: Sequence[str] | None = None) -> DataFrame:
@@ -295,21 +298,20 @@ def vector(df: DataFrame, spec: TableSpec, names: Sequence[str] | None = None) -
         raise ValueError(f"unknown meta-features {unknown}")
     num = list(spec.numerical)
     cat = [*spec.categorical, *spec.ordinal]
-    groups = [
-        (True, ("number_of_inst", "log_number_of_inst", "number_of_miss", "missing", "sparsity"), lambda: general(df, spec)),
-        (True, ("number_of_feat", "log_number_of_feat", "dataset_r", "log_dataset_r"), lambda: shape(df, spec)),
-        (bool(spec.target), ("number_of_cl", "entropy_of_cl"), lambda: label_stats(df, spec.target)),
-        (bool(num), ("sparsity_on",), lambda: numeric_sparsity(df, num)),
-        (bool(num), "_skewness", lambda: skewness(df, num)),
-        (bool(num), "_kurtosis", lambda: kurtosis(df, num)),
-        (bool(num), "_correlation", lambda: correlation(df, num)),
-        (bool(num), "_covariance", lambda: covariance(df, num)),
-        (bool(num), ("pca_",), lambda: pca(df, num)),
-        (bool(cat), "_entropy", lambda: entropy(df, cat)),
-        (bool(cat and spec.target), "_mutual_information", lambda: mutual_information(df, cat, spec.target)),
-    ]
-    hit = lambda w, pat: w.endswith(pat) if isinstance(pat, str) else w.startswith(pat)
-    parts = [make() for ok, pat, make in groups if ok and any(hit(w, pat) for w in wanted)]
+    groups = {
+        "general": (True, lambda: general(df, spec)),
+        "shape": (True, lambda: shape(df, spec)),
+        "labels": (bool(spec.target), lambda: label_stats(df, spec.target)),
+        "numeric_sparsity": (bool(num), lambda: numeric_sparsity(df, num)),
+        "skewness": (bool(num), lambda: skewness(df, num)),
+        "kurtosis": (bool(num), lambda: kurtosis(df, num)),
+        "correlation": (bool(num), lambda: correlation(df, num)),
+        "covariance": (bool(num), lambda: covariance(df, num)),
+        "pca": (bool(num), lambda: pca(df, num)),
+        "entropy": (bool(cat), lambda: entropy(df, cat)),
+        "mutual_information": (bool(cat and spec.target), lambda: mutual_information(df, cat, spec.target)),
+    }
+    parts = [make() for group, (ok, make) in groups.items() if ok and set(GROUPS[group]) & set(wanted)]
     asked = df.sparkSession.createDataFrame(
         [(i, w) for i, w in enumerate(wanted)], "position long, metafeature string"
     )

@@ -34,16 +34,18 @@ def features(tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             found.append((mix(h[inside]) % np.uint64(CHAR_BUCKETS)).astype(np.int32))
             owners.append(owner[inside])
     owners = np.concatenate(owners)
-    order = np.argsort(owners, kind="stable")
+    order = np.argsort(owners.astype(np.int32))
     return words, np.concatenate(found)[order], np.bincount(owners, minlength=len(texts))
 
 
 def sums_by(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys and the sums of their rows of ``values``."""
-    order = np.argsort(keys, kind="stable")
-    keys = keys[order]
-    first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-    return keys[first], np.add.reduceat(values[order], first, axis=0)
+    """Distinct keys (small numbers) and the sums of their rows of ``values``."""
+    size = int(keys.max()) + 1
+    hit = np.flatnonzero(np.bincount(keys, minlength=size))
+    out = np.empty((len(hit), values.shape[1]), values.dtype)
+    for j in range(values.shape[1]):
+        out[:, j] = np.bincount(keys, values[:, j], size)[hit]
+    return hit, out
 
 
 def fresh(seed: int) -> dict[str, np.ndarray]:
@@ -61,7 +63,7 @@ def fresh(seed: int) -> dict[str, np.ndarray]:
 
 def inputs(p: dict, words: np.ndarray, grams: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Embedded words (n, d) and their gate inputs (n, 6 hidden); ``grams`` holds ``sizes[i]`` n-grams of word i in turn."""
-    sums = np.add.reduceat(p["char"][grams], np.cumsum(sizes) - sizes, axis=0)
+    sums = np.add.reduceat(p["char"].take(grams, axis=0), np.cumsum(sizes) - sizes, axis=0)
     x = np.concatenate([p["word"][words], sums * (sizes**-0.5).astype(sums.dtype)[:, None]], axis=1)
     return x, x @ p["win"] + p["bin"]
 

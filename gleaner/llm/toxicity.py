@@ -20,7 +20,7 @@ from .gru import HIDDEN, Adam, features, forward, fresh, gradients, inputs
 
 WINDOW, STRIDE = 64, 48
 TRAIN_DOCS, TRAIN_WINDOWS = 6_000, 12  # bounds of the fitted sample
-EPOCHS, BATCH, RATE = 7, 128, 0.01
+EPOCHS, STEPS, BATCH, RATE = 7, 500, 128, 0.01  # small samples are gone through more often, for some STEPS batches
 SCORED = 1_024  # windows scored at a time
 TABLE = 100_000  # distinct words remembered in a task
 
@@ -115,14 +115,17 @@ def train(texts: list[tuple[bytes, int]], seed: int = 1) -> dict[str, np.ndarray
     del words
     unseen = np.arange(len(texts)) % 5 == 4  # kept for the document score
     adam = Adam(p, RATE)
-    for epoch in range(EPOCHS):
+    per_epoch = -(-int((~unseen[owner]).sum()) // BATCH)
+    epochs = min(max(EPOCHS, -(-STEPS // max(per_epoch, 1))), 8 * EPOCHS)
+    first = 2 * epochs // EPOCHS  # in the first rounds all windows of a toxic document count as toxic
+    for epoch in range(epochs):
         use = ~unseen[owner]
-        if epoch >= 2:
+        if epoch >= first:
             logits = _logits(p, table, at, valid)
             worst = _worst(logits, owner, len(texts))
             toxic = labels[owner] == 1
             use &= np.where(toxic, (logits >= worst[owner]) | (logits > 0), (logits >= worst[owner]) | (rng.random(len(owner)) < 0.3))
-            adam.rate = RATE * 0.6 ** (epoch - 1)
+            adam.rate = RATE * 0.6 ** (1 + 4 * (epoch - first) / max(epochs - first - 1, 1))
         order = rng.permutation(np.flatnonzero(use))
         for k in range(0, len(order), BATCH):
             b = order[k : k + BATCH]

@@ -187,10 +187,17 @@ def near_duplicates(
 
 
 def keep_first(docs: DataFrame, id_col: str, text_col: str, **options) -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of its component; of rows that repeat that id, one stays."""
-    found = cut(near_duplicates(docs, id_col, text_col, **options))
-    later = cut(found.filter(~F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("id").alias("_id")).distinct())
-    kept = docs.join(small_side(later), F.col(id_col).eqNullSafe(F.col("_id")), "left_anti")
-    if found.groupBy("id").count().filter("count > 1").isEmpty():
+    """One row of ``docs`` for every component: the smallest id, null ids last, and of its texts the one with the smallest hash.
+
+    A row is known by its id and a hash of its text, so rows that share an id but no component stay apart. Of rows that repeat
+    id and text one stays.
+    """
+    row = F.xxhash64(text_col)
+    key = F.struct(F.col(id_col).isNull().alias("unknown"), F.col(id_col).alias("id"), row.alias("row"))
+    found = cut(near_duplicates(docs.select(key.alias("_key"), F.col(text_col).alias("_body")), "_key", "_body", **options))
+    first = F.col("id").eqNullSafe(F.col("component_id"))
+    later = cut(found.filter(~first).select(F.col("id.id").alias("__id"), F.col("id.row").alias("__row")).distinct())
+    kept = docs.join(small_side(later), F.col(id_col).eqNullSafe(F.col("__id")) & (row == F.col("__row")), "left_anti")
+    if found.filter(first).groupBy("id").count().filter("count > 1").isEmpty():
         return kept
-    return kept.dropDuplicates([id_col])
+    return kept.withColumn("__row", row).dropDuplicates([id_col, "__row"]).drop("__row")

@@ -6,7 +6,12 @@ the band of its language (of its script, where the language has no band) is reje
 token, foreign or broken encodings fall back to bytes, boilerplate and word salad have low or extreme entropy. Counts of
 symbols, repeated lines and repeated word windows come with the measures.
 
-Words are tokenised one by one, so a word's tokens are remembered within a task. One pass, nothing is exchanged.
+Entropy grows with the length of a text, so besides its fixed limits it has a floor by length, taken from all rows: a parabola
+over the logarithm of the words, fitted per band, less ``SPREADS`` robust deviations. Tables of cells have little entropy for
+their length. Bands of fewer than ``LEAST`` different texts keep their fixed limits alone.
+
+Words are tokenised one by one, so a word's tokens are remembered within a task. One pass over the texts; only the counts and
+measures are read again.
 """
 
 from __future__ import annotations
@@ -18,15 +23,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructType
 
+from ..session import cut
 from .common import CACHE, gram_hashes, mix, raw_text
 
 MIN_WORDS = 50
 MAX_REPEATED = 50  # percent of words in repeated 3-word windows
 SYMBOLS = b"#*$%&|<>"
+LEAST, SPREADS = 50, 4.0
+NARROW = 0.05  # bits that a robust deviation counts at least, where most texts are alike
 
 
 @dataclass(frozen=True)
@@ -173,6 +181,42 @@ def _columns(text_col: str, lang_col: str | None) -> tuple:
     return raw_text(text_col), F.col(lang_col).cast("string") if lang_col else F.lit("")
 
 
+def _expected(curves: dict[str, tuple]) -> Column:
+    """Entropy expected of a text of its length; null for a band without a curve."""
+    x, out = F.log2("n_words") - 8, F.lit(None).cast("double")
+    for band, (a, b, c) in curves.items():
+        out = F.when(F.col("band") == band, F.lit(a) + F.lit(b) * x + F.lit(c) * x * x).otherwise(out)
+    return out
+
+
+def entropy_floors(found: DataFrame, least: int = LEAST) -> dict[str, tuple[float, float, float]]:
+    """Of each band with enough texts the parabola (in log2 of the words, less 8) below which entropy is too low.
+
+    ``found`` has the measures as columns. Texts that fail the fixed rules do not count, texts with the same length and
+    entropy count once. Sums and approximate medians are aggregations; at most one row per band is collected.
+    """
+    own = found.filter("kept").select("band", "n_words", F.round("entropy", 2).alias("entropy"))
+    cells, x = cut(own.distinct()), F.log2("n_words") - 8
+    powers = [F.sum(F.pow(x, F.lit(k))) for k in range(5)] + [F.sum(F.pow(x, F.lit(k)) * F.col("entropy")) for k in range(3)]
+    curves = {}
+    for band, *sums in cells.groupBy("band").agg(*powers).collect():
+        if sums[0] >= least:
+            normal = np.array([[sums[i + j] for j in range(3)] for i in range(3)])
+            curves[band] = tuple(np.linalg.lstsq(normal, np.array(sums[5:]), rcond=None)[0].tolist())
+    if not curves:
+        return {}
+    away = cells.select("band", (F.col("entropy") - _expected(curves)).alias("r")).filter("r IS NOT NULL")
+    mids = dict(away.groupBy("band").agg(F.percentile_approx("r", 0.5)).collect())
+    middle = F.coalesce(*[F.when(F.col("band") == b, F.lit(m)) for b, m in mids.items()])
+    spreads = dict(away.groupBy("band").agg(F.percentile_approx(F.abs(F.col("r") - middle), 0.5)).collect())
+    drop = {b: mids[b] - SPREADS * max(1.4826 * spreads[b], NARROW) for b in curves}
+    return {b: (a + drop[b], *rest) for b, (a, *rest) in curves.items()}
+
+
+def _above(floors: dict[str, tuple]) -> Column:
+    return F.coalesce(F.col("entropy") >= _expected(floors), F.lit(True))
+
+
 def measures(
     docs: DataFrame, id_col: str, text_col: str, lang_col: str | None, ranks_path: str, pieces_path: str,
     bands: dict[str, Band] = BANDS,
@@ -183,11 +227,15 @@ def measures(
     the script. Rows repeat as they come; an empty table gives no rows.
     """
     found = assess(ranks_path, pieces_path, bands)(*_columns(text_col, lang_col))
-    return docs.select(F.col(id_col).alias("id"), found.alias("_found")).select("id", "_found.*")
+    own = cut(docs.select(F.col(id_col).alias("id"), found.alias("_found")).select("id", "_found.*"))
+    return own.withColumn("kept", F.col("kept") & _above(entropy_floors(own)))
 
 
 def keep_good(
     docs: DataFrame, text_col: str, lang_col: str | None, ranks_path: str, pieces_path: str, bands: dict[str, Band] = BANDS
 ) -> DataFrame:
-    """The rows of ``docs`` with a good verdict, all columns kept."""
-    return docs.filter(assess(ranks_path, pieces_path, bands)(*_columns(text_col, lang_col))["kept"])
+    """The rows of ``docs`` with a good verdict, all columns kept. They are written once with their measures."""
+    found = assess(ranks_path, pieces_path, bands)(*_columns(text_col, lang_col))
+    held = cut(docs.select(F.struct(*docs.columns).alias("row"), found.alias("found")).filter("found.kept"))
+    floors = entropy_floors(held.select("found.*"))
+    return held.select("row", "found.*").filter(_above(floors)).select("row.*")

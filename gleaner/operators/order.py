@@ -24,32 +24,38 @@ def running(
     df: DataFrame,
     groups: Sequence[str],
     order: Sequence[str],
-    value: str,
-    out: str,
+    value: str | Sequence[str],
+    out: str | Sequence[str],
     how: str = "sum",
     parts: int | None = None,
 ) -> DataFrame:
-    """Running sum (or min) of ``value`` *before* each row within its group; 0 (or null) at the start.
+    """Running sum (min, xor) of ``value`` *before* each row within its group; 0 (min: null) at the start.
 
-    ``order`` must be unique within a group.
+    ``order`` must be unique within a group. Several values, with as many outs, share one exchange.
     """
-    fold = {"sum": F.sum, "min": F.min}[how]
+    values, outs = ([value], [out]) if isinstance(value, str) else (list(value), list(out))
+    fold = {"sum": F.sum, "min": F.min, "xor": F.bit_xor}[how]
     d = _chunks(df, [F.col(c) for c in [*groups, *order]], parts)
     before = W.partitionBy(*groups).orderBy("_pid").rowsBetween(W.unboundedPreceding, -1)
+    each = range(len(values))
     offsets = (
         d.groupBy(*groups, "_pid")
-        .agg(fold(value).alias("_t"))
-        .select(*groups, "_pid", fold("_t").over(before).alias("_off"))
+        .agg(*[fold(v).alias(f"_t{i}") for i, v in enumerate(values)])
+        .select(*groups, "_pid", *[fold(f"_t{i}").over(before).alias(f"_off{i}") for i in each])
     )
     inside = (
         W.partitionBy(*groups, "_pid").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
     )
-    j = d.withColumn("_in", fold(value).over(inside)).join(offsets, [*groups, "_pid"], "left")
-    if how == "sum":
-        total = F.coalesce(F.col("_in"), F.lit(0)) + F.coalesce(F.col("_off"), F.lit(0))
-    else:
-        total = F.least("_in", "_off")
-    return j.withColumn(out, total).drop("_pid", "_in", "_off")
+    own = {f"_in{i}": fold(v).over(inside) for i, v in enumerate(values)}
+    j = d.withColumns(own).join(offsets, [*groups, "_pid"], "left")
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
+    join = {
+        "sum": lambda a, b: zero(a) + zero(b),
+        "xor": lambda a, b: zero(a).bitwiseXOR(zero(b)),
+        "min": lambda a, b: F.least(a, b),
+    }[how]
+    done = j.withColumns({o: join(f"_in{i}", f"_off{i}") for i, o in enumerate(outs)})
+    return done.drop("_pid", *[f"{c}{i}" for c in ("_in", "_off") for i in each])
 
 
 def with_row_id(df: DataFrame, order: Sequence[str], out: str = "row_id", parts: int | None = None):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import sys
+import types
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -11,6 +13,8 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from ..session import cut
+
 SLICE = 512  # rows turned into Python objects at a time
 CACHE = 400_000  # entries after which a per-task cache starts anew
 
@@ -76,6 +80,18 @@ def map_arrays(
     return df.mapInArrow(run, schema)
 
 
+def per_worker(key: tuple, make: Callable):
+    """``make()``, or what it gave to an earlier task of this Python worker; a worker keeps the last one only.
+
+    Functions travel to the workers by value, so a module's own variables start anew with every task.
+    """
+    held = sys.modules.setdefault("_kept_by_worker", types.ModuleType("_kept_by_worker")).__dict__
+    if held.get("key") != key:
+        held.update(key=None, value=None)
+        held.update(value=make(), key=key)
+    return held["value"]
+
+
 def raw_text(text_col: str):
     """The text as UTF-8 bytes, null as empty."""
     return F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))
@@ -203,5 +219,18 @@ def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
+def join_unique(left: DataFrame, right: DataFrame, keys: list[str], share: int = 1_000) -> DataFrame:
+    """Left join of ``left`` (a written table) with ``right``, which has one row per key.
+
+    A key that holds over a thousandth of the left rows would make one task of a shuffled join read them all. There are under
+    a thousand such keys, whatever the tables: their rows of ``right`` are broadcast, and only other rows are exchanged.
+    """
+    most = max(left.count() // share, 1)
+    hot = left.groupBy(*keys).count().filter(F.col("count") > most).select(*keys)
+    held = F.broadcast(cut(hot.join(right, keys, "left")))
+    rest = left.join(held.select(*keys), keys, "left_anti").join(right, keys, "left")
+    return left.join(held, keys).unionByName(rest)
+
+
 def column_type(df: DataFrame, name: str) -> str:
     return df.schema[name].dataType.simpleString()

@@ -5,7 +5,11 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate as decon, licenses, lines, packing, quality, secrets, simhash, substring, suffix, toxicity
+from ..session import cut
+from . import (
+    decontaminate as decon, licenses, lines, packing, quality, secrets, simhash, substring, suffix, tokens, toxicity, trie,
+    variants,
+)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -98,6 +102,27 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    vocabulary = cut(variants.words(docs, "doc_id", "text").filter((F.length("word") >= 6) & (F.col("n") >= 5)))
+    return variants.variants(vocabulary, factor=5).select("word", "form", "root", "n", "n_near", "form_n")
+
+
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    tables = tokens.prefix_tables(docs, "doc_id", "text", public_tokenizers.path("byte_bpe_50k.json"))
+    found = tokens.budget(tables, limit=1024)
+    return found.select(F.col("id").alias("doc_id"), "n_bytes", "n_tokens", "over_limit", "n_chars", "fit_chars")
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conv = F.col("conv_id")
+    return trie.conversation_trie(
+        table(spark, sf_dir, "conversations"), "conv_id", "turn", "role", "text",
+        base=conv - conv % 5, head=F.crc32(conv.cast("string").cast("binary")) % 9, most=8,
+    )
+
+
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_lines": op2_lines,
@@ -109,5 +134,8 @@ QUERIES = {
     "op8_licenses": op8_licenses,
     "op9_quality": op9_quality,
     "op10_secrets": op10_secrets,
+    "op11_variants": op11_variants,
+    "op12_token_counts": op12_token_counts,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 ORACLES: dict[str, str] = {"op2_lines": lines.SQL}

@@ -25,6 +25,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import cut
@@ -262,16 +263,20 @@ def near_pairs(vocabulary: DataFrame, sample: int = SAMPLE, leaf: int = LEAF, mo
         F.when(F.col("query"), mine).otherwise(theirs).alias("qb"), "step", "query", "word", "n",
     )
 
-    def search(pdf: pd.DataFrame) -> pd.DataFrame:
-        points, columns = pdf[~pdf["query"]], {"a": [], "a_n": [], "b": [], "b_n": []}
-        for step, queries in pdf[pdf["query"]].groupby("step"):
-            q, p = near_rows(queries["word"].tolist(), points["word"].tolist(), step == 0)
-            for name, side, at in (("a", queries, q), ("b", points, p)):
-                columns[name] += side["word"].to_numpy(object)[at].tolist()
-                columns[name + "_n"] += side["n"].to_numpy()[at].tolist()
-        return pd.DataFrame(columns)
+    arrow = pa.schema([("a", pa.string()), ("a_n", pa.int64()), ("b", pa.string()), ("b_n", pa.int64())])
 
-    return spread.groupBy("leaf", "pb", "qb").applyInPandas(search, "a string, a_n long, b string, b_n long")
+    def search(held: pa.Table) -> pa.Table:
+        step, query, word, n = (held.column(c).combine_chunks().to_numpy(zero_copy_only=False) for c in ("step", "query", "word", "n"))
+        points, columns = np.flatnonzero(~query), [[], [], [], []]
+        for d in (0, 1):
+            mine = np.flatnonzero(query & (step == d))
+            q, p = near_rows(word[mine].tolist(), word[points].tolist(), d == 0)
+            for k, rows in enumerate((mine[q], points[p])):
+                columns[2 * k].append(word[rows])
+                columns[2 * k + 1].append(n[rows])
+        return pa.Table.from_arrays([pa.array(np.concatenate(c), f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
+
+    return spread.groupBy("leaf", "pb", "qb").applyInArrow(search, "a string, a_n long, b string, b_n long")
 
 
 def variants(vocabulary: DataFrame, factor: int = 5) -> DataFrame:

@@ -43,6 +43,20 @@ def box_far_sq(alo, ahi, blo, bhi) -> Column:
     return total([s * s for s in spans])
 
 
+def manhattan_distance(a: Sequence[Column], b: Sequence[Column]) -> Column:
+    return total([F.abs(x - y) for x, y in zip(a, b)])
+
+
+def box_near_l1(alo, ahi, blo, bhi) -> Column:
+    """Smallest Manhattan distance between two axis-parallel boxes."""
+    return total([F.greatest(F.lit(0.0), bl - ah, al - bh) for al, ah, bl, bh in zip(alo, ahi, blo, bhi)])
+
+
+def box_far_l1(alo, ahi, blo, bhi) -> Column:
+    """Largest Manhattan distance between two axis-parallel boxes."""
+    return total([F.greatest(bh - al, ah - bl) for al, ah, bl, bh in zip(alo, ahi, blo, bhi)])
+
+
 def soft_threshold(x: Column, delta) -> Column:
     """max(x+ - delta, 0)."""
     return F.greatest(F.greatest(x, F.lit(0.0)) - F.lit(delta), F.lit(0.0))

@@ -10,6 +10,8 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
+from pyspark.ml.clustering import PowerIterationClustering
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..functions.numeric import name, total
@@ -21,6 +23,7 @@ from .neighbours import knn
 from .order import exact_quantiles, with_row_id
 from .tiles import block_count, hash_blocks, kernel_sums
 
+SMALL_SIDE = 1_000_000  # rows of a name and a number that are broadcast
 KERNELS = ("rbf", "laplacian", "poly", "sigmoid")
 
 
@@ -112,23 +115,152 @@ def birch_summaries(rows: DataFrame, p: int, threshold: float = 0.5) -> DataFram
     )
 
 
+class FeatureStore:
+    """Clustering features (count, sum, sum of squares) of the rows or features that were added, none wider than a radius.
+
+    A feature's radius is the root mean square distance of its rows from their mean. What is added goes to the feature with the
+    nearest mean if that keeps its radius within ``threshold``, else it starts a feature of its own. Added items are taken
+    in batches: the items of a feature join in the order of their distance, as many as the radius allows; of the others, one
+    per cell of a grid four thresholds wide starts a feature, and the rest try again.
+    """
+
+    def __init__(self, p: int, threshold: float):
+        self.p, self.limit = p, float(threshold) ** 2
+        self.side = max(4 * float(threshold), 1e-300)
+        self.n, self.s, self.q = np.zeros(0), np.zeros((0, p)), np.zeros(0)
+
+    def _fits(self, n, s, q):
+        """Whether the mean square distance from the mean is within the limit, but for rounding."""
+        centre = s / n[:, None]
+        return q / n - (centre * centre).sum(1) <= self.limit + 1e-9 * (q / n)
+
+    def _nearest(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        m = self.s / self.n[:, None]
+        best, far = np.zeros(len(x), int), np.full(len(x), np.inf)
+        for at in range(0, len(m), 1024):
+            part = m[at : at + 1024]
+            d = (x * x).sum(1)[:, None] + (part * part).sum(1)[None] - 2 * x @ part.T
+            j = d.argmin(1)
+            low = d[np.arange(len(x)), j]
+            better = low < far
+            best[better], far[better] = at + j[better], low[better]
+        return best, far
+
+    def add(self, n: np.ndarray, s: np.ndarray, q: np.ndarray) -> np.ndarray:
+        """Number of the feature that took each item; items must be within the limit themselves."""
+        took = np.full(len(n), -1)
+        left = np.arange(len(n))
+        while len(left):
+            x = s[left] / n[left][:, None]
+            if len(self.n):
+                best, far = self._nearest(x)
+                order = np.lexsort((far, best))
+                rows, to = left[order], best[order]
+                start = np.r_[0, np.flatnonzero(np.diff(to)) + 1]
+                size = np.diff(np.r_[start, len(to)])
+                base = np.repeat(start, size)
+                runs = []
+                for own, v in ((self.n, n), (self.s, s), (self.q, q)):
+                    c = np.cumsum(v[rows], axis=0)
+                    before = np.concatenate([np.zeros_like(c[:1]), c])[base]
+                    runs.append(own[to] + c - before)
+                bad = ~self._fits(*runs)
+                stopped = np.cumsum(bad)
+                stopped = stopped - np.r_[0, stopped][base]
+                joined = stopped == 0  # all up to the first that does not fit
+                ok = rows[joined]
+                took[ok] = to[joined]
+                np.add.at(self.n, to[joined], n[ok])
+                np.add.at(self.s, to[joined], s[ok])
+                np.add.at(self.q, to[joined], q[ok])
+                left = np.sort(rows[~joined])
+                if not len(left):
+                    break
+                x = s[left] / n[left][:, None]
+            _, lead = np.unique(np.floor(x / self.side), axis=0, return_index=True)
+            own = left[np.sort(lead)]
+            took[own] = len(self.n) + np.arange(len(own))
+            self.n, self.s, self.q = np.r_[self.n, n[own]], np.vstack([self.s, s[own]]), np.r_[self.q, q[own]]
+            left = np.setdiff1d(left, own, assume_unique=True)
+        return took
+
+
+MOST_FEATURES = 20_000  # of a task's store; a full one is handed on and a new one started
+
+
+def birch_features(df: DataFrame, p: int, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """Summaries of rows (id, x0..) none of which has a radius over ``threshold``: (features, members).
+
+    Features are (feature, n, s0.., ss); members (id, feature). Every partition fills a store of its own; then the features
+    of neighbouring means, by cells some thresholds wide, meet in one task and are merged by the same rule. Rows follow the
+    feature that took them. What a cell holds is bounded by its size and the number of partitions, not by its rows.
+    """
+    x, ss = [f"x{i}" for i in range(p)], [f"s{i}" for i in range(p)]
+
+    def fill(batches):
+        task = TaskContext.get().partitionId()
+        stores = 0
+        store = FeatureStore(p, threshold)
+
+        def handed():
+            out = {"part": np.full(len(store.n), task), "store": np.full(len(store.n), stores), "own": np.arange(len(store.n))}
+            out |= {"id": [None] * len(store.n), "n": store.n, "ss": store.q}
+            return pd.DataFrame(out | {c: store.s[:, i] for i, c in enumerate(ss)})
+
+        for pdf in batches:
+            for at in range(0, len(pdf), 4096):
+                own = pdf.iloc[at : at + 4096]
+                v = own[x].to_numpy(float)
+                took = store.add(np.ones(len(v)), v, (v * v).sum(1))
+                none = np.full(len(own), np.nan)
+                out = {"part": task, "store": stores, "own": took, "id": own["id"].to_numpy(), "n": none, "ss": none}
+                yield pd.DataFrame(out | {c: none for c in ss})
+                if len(store.n) >= MOST_FEATURES:
+                    yield handed()
+                    store, stores = FeatureStore(p, threshold), stores + 1
+        if len(store.n):
+            yield handed()
+
+    sums = ", ".join(f"{c} double" for c in ss)
+    first = cut(df.select("id", *x).mapInPandas(fill, f"part long, store long, own long, id long, n double, ss double, {sums}"))
+    key = ["part", "store", "own"]
+    cell = F.array(*[F.floor(F.col(c) / F.col("n") / F.lit(8.0 * threshold)).cast("long") for c in ss[:8]])
+    local = first.filter("n IS NOT NULL").select(*key, "n", "ss", *ss, cell.alias("cell"))
+
+    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["n", *key], ascending=[False, True, True, True])
+        store = FeatureStore(p, threshold)
+        took = store.add(pdf["n"].to_numpy(float), pdf[ss].to_numpy(float), pdf["ss"].to_numpy(float))
+        lead = pdf.iloc[np.unique(took, return_index=True)[1]]  # a feature is named by its first part
+        out = pdf[key].assign(**{f"of_{c}": lead[c].to_numpy()[took] for c in key})
+        return out.assign(n=pdf["n"], ss=pdf["ss"], **{c: pdf[c] for c in ss})
+
+    names = ", ".join(f"{c} long, of_{c} long" for c in key)
+    placed = cut(local.groupBy("cell").applyInPandas(merge, f"{names}, n double, ss double, {sums}"))
+    feature = F.concat_ws(":", *[f"of_{c}" for c in key])
+    features = placed.groupBy(feature.alias("feature")).agg(
+        F.sum("n").cast("long").alias("n"), *[F.sum(c).alias(c) for c in ss], F.sum("ss").alias("ss")
+    )
+    members = first.filter("n IS NULL").select("id", *key).join(placed.select(*key, feature.alias("feature")), key)
+    return features, members.select("id", "feature")
+
+
 def birch(
     df, id_col, cols, n_clusters: int = 5, branching_factor: int = 50, threshold: float = 0.5, seed: int = 42
 ) -> DataFrame:
-    """Summaries, weighted k-means over them, rows labelled by their summary.
+    """Clustering features of a bounded radius, weighted k-means over their means; rows go with their feature.
 
     ``branching_factor`` lays out an in-memory tree elsewhere; it has no counterpart here.
     """
     del branching_factor
     p = len(cols)
-    rows = _rows(df, id_col, cols)
-    cf = cut(birch_summaries(rows, p, threshold))
-    means = cf.select("cell", F.col("n").cast("double").alias("w"), *[(F.col(f"s{i}") / F.col("n")).alias(f"x{i}") for i in range(p)])
-    vec = km.vectors(means, [f"x{i}" for i in range(p)], ["cell", "w"])
-    labelled = km.fit(vec, n_clusters, seed, weight="w").label(vec).select("cell", "label")
-    side = 2 * threshold / math.sqrt(p)
-    key = F.array(*[F.floor(F.col(f"x{i}") / F.lit(side)).cast("long") for i in range(p)])
-    return rows.withColumn("cell", key).join(labelled, "cell").select("id", "label")
+    features, members = birch_features(_rows(df, id_col, cols), p, threshold)
+    means = cut(features.select("feature", F.col("n").cast("double").alias("w"), *[(F.col(f"s{i}") / F.col("n")).alias(f"x{i}") for i in range(p)]))
+    vec = km.vectors(means, [f"x{i}" for i in range(p)], ["feature", "w"])
+    labelled = cut(km.fit(vec, n_clusters, seed, weight="w").label(vec).select("feature", "label"))
+    # Rows of one feature were taken by many tasks, so a hot feature is a hot key; labels are few and small.
+    side = F.broadcast(labelled) if labelled.count() <= SMALL_SIDE else labelled
+    return members.join(side, "feature").select("id", "label")
 
 
 # ---------------------------------------------------------------- Gaussian mixture
@@ -278,7 +410,7 @@ def mixture_log_density(df: DataFrame, cols: Sequence[str], label: str) -> DataF
 
 def spectral(
     df, id_col, cols, n_clusters: int = 10, affinity: str = "rbf", assign_labels: str = "kmeans",
-    gamma: float = 1.0, n_neighbors: int = 10, seed: int = 42,
+    gamma: float = 1.0, n_neighbors: int = 10, seed: int = 42, search: str = "exact",
 ) -> DataFrame:
     """Spectral clustering: affinity, bottom eigenvectors, k-means on the scaled embedding.
 
@@ -294,7 +426,7 @@ def spectral(
     vec = km.vectors(rows, x, ["id"])
     parts = cut(km.fit(vec, max(min(100, n // 4), min(n, n_clusters + 1)), seed, max_iter=5).label(vec, "part"))
     if affinity == "nearest_neighbors":
-        near = knn(rows, "id", x, n_neighbors - 1)  # the row itself is one of its neighbours
+        near = knn(rows, "id", x, n_neighbors - 1, method=search)  # the row itself is one of its neighbours
         ones = near.select("src", "dst", F.lit(1.0).alias("w")).unionByName(
             rows.select(F.col("id").alias("src"), F.col("id").alias("dst"), F.lit(1.0).alias("w"))
         )
@@ -334,6 +466,44 @@ def spectral(
     return km.fit(evec, n_clusters, seed, max_iter=50).label(evec)
 
 
+def power_iteration(
+    df, id_col, cols, n_clusters: int = 10, n_neighbors: int = 10, sigma: float | None = None, max_iter: int = 40,
+    search: str = "exact",
+) -> DataFrame:
+    """Spark's power iteration clustering on the neighbour graph: the fast alternative to :func:`spectral`.
+
+    One vector is multiplied by the normalised affinities ``max_iter`` times and its values are clustered, so a round is one
+    pass over the edges. Affinities are heat weights exp(-d^2 / sigma), sigma by default the mean squared distance of
+    neighbours. Every copy of a row has the label of the row's first copy, so weights between copies play no part; a row
+    without neighbours is a vertex with an edge to itself. Clusters are numbered by their smallest id. One vector tells groups
+    apart by how dense they are; groups that no edge joins and that are alike in this may share a label.
+    """
+    p = len(cols)
+    x = [f"x{i}" for i in range(p)]
+    if n_clusters < 2:
+        return _rows(df, id_col, cols).select("id", F.lit(0).cast("long").alias("label"))
+    rows = cut(_rows(df, id_col, cols))
+    first = cut(rows.groupBy(*x).agg(F.min("id").alias("id")))
+    near = cut(knn(first, "id", x, n_neighbors, method=search))
+    if sigma is None:
+        sigma = near.agg(F.avg(F.col("d") * F.col("d"))).first()[0] or 1.0
+    weight = F.greatest(F.exp(-F.col("d") * F.col("d") / F.lit(float(sigma))), F.lit(1e-12))
+    # Each undirected edge once; a pair that is listed from both sides has one distance.
+    edges = near.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"), weight.alias("w"))
+    edges = edges.groupBy("src", "dst").agg(F.max("w").alias("w"))
+    touched = edges.select(F.col("src").alias("id")).unionByName(edges.select(F.col("dst").alias("id"))).distinct()
+    lone = first.select("id").join(touched, "id", "left_anti").select(F.col("id").alias("src"), F.col("id").alias("dst"), F.lit(1.0).alias("w"))
+    graph_ = cut(edges.unionByName(lone))
+    if graph_.isEmpty():
+        return rows.select("id", F.lit(0).cast("long").alias("label"))
+    pic = PowerIterationClustering(k=n_clusters, maxIter=max_iter, initMode="degree", srcCol="src", dstCol="dst", weightCol="w")
+    found = cut(pic.assignClusters(graph_).select(F.col("id").alias("id"), F.col("cluster").cast("long").alias("cluster")))
+    order = found.groupBy("cluster").agg(F.min("id").alias("least"))  # one row per cluster
+    ranked = order.select("cluster", (F.row_number().over(W.orderBy("least")) - 1).cast("long").alias("label"))
+    labels = found.join(F.broadcast(ranked), "cluster").join(first, "id").select("label", *x)
+    return rows.join(labels, x).select("id", "label")
+
+
 # ---------------------------------------------------------------- single linkage
 
 
@@ -363,7 +533,7 @@ def agglomerative(df, id_col, cols, n_clusters: int = 10, linkage: str = "single
 
 def affinity_propagation(
     df, id_col, cols, damping: float = 0.5, affinity: str = "euclidean", max_iter: int = 200,
-    convergence_iter: int = 15, n_neighbors: int = 10, seed: int = 42,
+    convergence_iter: int = 15, n_neighbors: int = 10, seed: int = 42, search: str = "exact",
 ) -> DataFrame:
     """Affinity propagation on the k-nearest-neighbour graph, preference = median similarity.
 
@@ -378,7 +548,7 @@ def affinity_propagation(
     p = len(cols)
     x = [f"x{i}" for i in range(p)]
     rows = cut(_rows(df, id_col, cols))
-    near = cut(knn(rows, "id", x, n_neighbors).select("src", "dst", (-F.col("d") * F.col("d")).alias("s")))
+    near = cut(knn(rows, "id", x, n_neighbors, method=search).select("src", "dst", (-F.col("d") * F.col("d")).alias("s")))
     med = exact_quantiles(near.select(F.lit("s").alias("f"), "s"), "f", "s", (0.5,)).first()["q0"]
     # A tiny fixed jitter breaks ties between equal similarities.
     jitter = (F.pmod(F.xxhash64("i", "k", F.lit(seed)), F.lit(1_000_003)) / F.lit(1_000_003.0)) * 1e-9

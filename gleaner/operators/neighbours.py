@@ -10,13 +10,18 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from ..functions.numeric import box_far_sq, box_near_sq, name, squared_distance
+from ..functions.numeric import (
+    box_far_l1, box_far_sq, box_near_l1, box_near_sq, manhattan_distance, name, squared_distance,
+)
 from ..session import cut
 from .tiles import METRICS, block_count, distance_matrix, exact_distance, features, hash_blocks, tile_apply
 
 PRUNE_FROM_BLOCKS = 12
 PRUNE_MAX_COLUMNS = 16
 MAX_BOX_CELLS = 50_000_000  # block boxes shipped for pruning; beyond it every tile is visited
+TABLES, BUCKET = 12, 512  # hash tables of method "lsh", and rows of a bucket
+CUTS, EXTRA = 3, 2  # directions per step, steps beyond those of an even split
+SHIPPED = 100_000  # buckets of one long and a few floats that are broadcast
 GRID_DIMS = 3
 LEAF = 64
 SPLIT = 6
@@ -101,9 +106,14 @@ def _pruned_partners(pts: DataFrame, p: int, k: int, metric: str) -> DataFrame:
 
 
 def knn(
-    df: DataFrame, id_col: str, cols: Sequence[str], k: int, metric: str = "euclidean"
+    df: DataFrame, id_col: str, cols: Sequence[str], k: int, metric: str = "euclidean", method: str = "exact",
+    tables: int = TABLES, bucket: int = BUCKET, seed: int = 42,
 ) -> DataFrame:
-    """Exact k nearest other rows of every row: (src, dst, d), ties to the smaller id.
+    """k nearest other rows of every row: (src, dst, d), ties to the smaller id.
+
+    ``method="exact"`` compares blocks of rows, all of them where there are too many columns to prune by boxes.
+    ``method="lsh"`` compares the rows of a bucket in each of ``tables`` random-projection hash tables (:func:`hashed_pairs`):
+    work and traffic grow with the rows, and a row may miss some neighbours or have fewer than k. Distances are exact.
 
     Identical rows are represented by their first k+1 ids; the other copies get the first k at
     distance 0, so a large group of copies is never paired with itself.
@@ -116,7 +126,12 @@ def knn(
     # The rank filter is applied per map task before the exchange, so copies are cut early.
     rank = F.row_number().over(W.partitionBy(*x).orderBy("_id"))
     reps = cut(rows.withColumn("_rn", rank).filter(F.col("_rn") <= k + 1))
+    if method not in ("exact", "lsh"):
+        raise ValueError(f"unknown method {method!r}: use 'exact' or 'lsh'")
     n = reps.count()
+    if method == "lsh":
+        cand = hashed_pairs(reps.select("_id", *x), p, k, metric, n, tables, bucket, seed)
+        return _with_copies(cand, rows, reps, x, k)
     blocks = block_count(df, n)
     prune = (
         metric != "cosine"
@@ -140,6 +155,11 @@ def knn(
         return left if same else pd.concat([left, _nearest(b, a, p, k, metric, False)])
 
     cand = tile_apply(placed, blocks, tile, "src long, dst long, d double", partners)
+    return _with_copies(cand, rows, reps, x, k)
+
+
+def _with_copies(cand: DataFrame, rows: DataFrame, reps: DataFrame, x: list[str], k: int) -> DataFrame:
+    """The k best candidates of every representative, and the first k copies for every other copy."""
     best = F.row_number().over(W.partitionBy("src").orderBy("d", "dst"))
     near = cand.withColumn("_r", best).filter(F.col("_r") <= k).select("src", "dst", "d")
     extra = rows.join(reps.select("_id"), "_id", "left_anti")
@@ -149,6 +169,75 @@ def knn(
     return near.unionByName(copies.select("src", "dst", F.lit(0.0).alias("d")))
 
 
+# ---------------------------------------------------------------- random-projection hash tables
+
+
+def hash_tables(reps: DataFrame, p: int, metric: str, n: int, tables: int, bucket: int, seed: int) -> DataFrame:
+    """(_id, node): the bucket of every row in each table, ``tables`` rows per row; buckets of different tables differ.
+
+    A table halves its buckets along ``CUTS`` random directions at a time, at their medians inside the bucket, until none has
+    more than ``bucket`` rows. All tables take a step together: one aggregation over (bucket, row) pairs gives the medians. The
+    buckets to be cut are shipped while they are few and large; once they are many they are small, and joined by key. Buckets
+    that ``EXTRA`` steps more than an even split would need leave too large are dealt out by a hash of the id.
+    """
+    steps = max(math.ceil(math.log(max(n / bucket, 1)) / math.log(2**CUTS)), 0)
+    steps += EXTRA if steps else 0
+    ways = np.random.default_rng(seed).normal(size=(p, tables * max(steps, 1) * CUTS)).astype(np.float32)
+    shared = reps.sparkSession.sparkContext.broadcast(ways)
+    width = max(steps, 1) * CUTS
+
+    def project(batches):
+        for pdf in batches:
+            x = features(pdf, p)
+            if metric == "cosine":
+                norm = np.linalg.norm(x, axis=1, keepdims=True)
+                x = x / np.where(norm == 0, 1, norm)
+            y = (x @ shared.value).astype(np.float32).reshape(-1, width)
+            yield pd.DataFrame(
+                {"_id": np.repeat(pdf["_id"].to_numpy(), tables), "node": np.tile(np.arange(tables, dtype=np.int64), len(pdf)), "y": list(y)}
+            )
+
+    held = reps.mapInPandas(project, "_id long, node long, y array<float>")
+    if not steps:
+        return held.select("_id", "node")
+    held = cut(held)
+    for step in range(steps):
+        at = [F.col("y")[step * CUTS + c] for c in range(CUTS)]
+        mids = held.groupBy("node").agg(
+            F.count(F.lit(1)).alias("size"), *[F.percentile_approx(a, 0.5, 1_000).alias(f"m{c}") for c, a in enumerate(at)]
+        )
+        large = cut(mids.filter(F.col("size") > bucket))
+        few = large.count()
+        if not few:
+            break
+        side = F.broadcast(large) if few <= SHIPPED else large
+        bits = sum(((a > F.col(f"m{c}")).cast("int") * 2**c for c, a in enumerate(at)), F.lit(0))
+        node = F.when(F.col("size").isNotNull(), F.xxhash64("node", bits)).otherwise(F.col("node"))
+        held = cut(held.join(side, "node", "left").select("_id", node.alias("node"), "y"))
+    sizes = held.groupBy("node").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") > 2 * bucket)
+    salt = F.xxhash64("node", F.pmod(F.xxhash64("_id"), F.ceil(F.col("size") / F.lit(bucket)).cast("long")))
+    node = F.when(F.col("size").isNotNull(), salt).otherwise(F.col("node"))
+    # Only buckets that could not be cut are left; as they are large, there are few: under n * tables / (2 * bucket).
+    left = cut(sizes)
+    return held.join(F.broadcast(left) if left.count() <= SHIPPED else left, "node", "left").select("_id", node.alias("node"))
+
+
+def hashed_pairs(
+    reps: DataFrame, p: int, k: int, metric: str, n: int, tables: int = TABLES, bucket: int = BUCKET, seed: int = 42
+) -> DataFrame:
+    """(src, dst, d): for every row its k nearest rows of each bucket it is in, each pair once.
+
+    Every row travels ``tables`` times, whatever the table's size; a task holds one bucket at a time.
+    """
+    where = hash_tables(reps, p, metric, n, tables, bucket, seed)
+
+    def inside(pdf: pd.DataFrame) -> pd.DataFrame:
+        return _nearest(pdf, pdf, p, k, metric, True)
+
+    near = where.join(reps, "_id").groupBy("node").applyInPandas(inside, "src long, dst long, d double")
+    return near.groupBy("src", "dst").agg(F.min("d").alias("d"))
+
+
 # ---------------------------------------------------------------- radius joins on nested grids
 
 
@@ -205,8 +294,22 @@ def _adjacent(key: str, g: int) -> Column:
     return F.expr("explode(array(" + ", ".join(cells) + "))")
 
 
+def _ball_terms(metric: str, p: int, radius: float) -> tuple[str, str, str]:
+    """SQL of the least and the greatest distance between a query q0.. and a box lo0.. hi0.., and the radius to compare with.
+
+    Euclidean distances are compared squared.
+    """
+    if metric not in ("euclidean", "manhattan"):
+        raise ValueError(f"no box distances for metric {metric!r}")
+    square = metric == "euclidean"
+    term = "pow({}, 2)" if square else "({})"
+    near = " + ".join(term.format(f"greatest(0D, lo{j} - q{j}, q{j} - hi{j})") for j in range(p))
+    far = " + ".join(term.format(f"greatest(hi{j} - q{j}, q{j} - lo{j})") for j in range(p))
+    return near, far, f"{radius**2 if square else radius!r}D"
+
+
 class BallIndex:
-    """Points summarised by nested grid cells, for aggregates over balls of one radius.
+    """Points summarised by nested grid cells, for aggregates over balls of one radius (euclidean or manhattan).
 
     ``points(x0.., value columns)`` have distinct coordinates; ``aggs`` maps an output name to
     (``sum`` | ``min``, value column). A cell wholly inside a ball contributes its aggregate without
@@ -216,8 +319,11 @@ class BallIndex:
     tables once for repeated queries.
     """
 
-    def __init__(self, points: DataFrame, p: int, radius: float, aggs: dict[str, tuple[str, str]], store: bool = False):
-        self.p, self.radius = p, float(radius)
+    def __init__(
+        self, points: DataFrame, p: int, radius: float, aggs: dict[str, tuple[str, str]], store: bool = False,
+        metric: str = "euclidean",
+    ):
+        self.p, self.radius, self.metric = p, float(radius), metric
         fold = {"sum": F.sum, "min": F.min}
         self.fold = {k: fold[how] for k, (how, _) in aggs.items()}
         node_aggs = {k: fold[how](col) for k, (how, col) in aggs.items()}
@@ -261,10 +367,8 @@ class BallIndex:
         p, names = self.p, list(self.fold)
         qn = [f"q{j}" for j in range(p)]
         box = [f"{t}{j}" for j in range(p) for t in ("lo", "hi")]
-        r2 = f"{self.radius**2!r}D"
         sides = range(p)
-        near = " + ".join(f"pow(greatest(0D, lo{j} - q{j}, q{j} - hi{j}), 2)" for j in sides)
-        far = " + ".join(f"pow(greatest(hi{j} - q{j}, q{j} - lo{j}), 2)" for j in sides)
+        near, far, r2 = _ball_terms(self.metric, p, self.radius)
         home = ", ".join(f"cast(floor(x{j} * {1.0 / self.radius!r}D) as bigint)" for j in range(min(p, GRID_DIMS)))
         state = (
             queries.selectExpr("_q", f"array({home}) as coarse", *[f"x{j} as q{j}" for j in sides])
@@ -287,19 +391,21 @@ class BallIndex:
         return state.groupBy(*keys).agg(*[fold(k).alias(k) for k, fold in self.fold.items()])
 
 
-def ball_join(queries: DataFrame, points: DataFrame, p: int, radius: float, aggs: dict[str, tuple[str, str]]) -> DataFrame:
+def ball_join(
+    queries: DataFrame, points: DataFrame, p: int, radius: float, aggs: dict[str, tuple[str, str]], metric: str = "euclidean"
+) -> DataFrame:
     """One-off :class:`BallIndex` query."""
-    return BallIndex(points, p, radius, aggs).query(queries)
+    return BallIndex(points, p, radius, aggs, metric=metric).query(queries)
 
 
-def eps_degree(df: DataFrame, id_col: str, cols: Sequence[str], eps: float) -> DataFrame:
+def eps_degree(df: DataFrame, id_col: str, cols: Sequence[str], eps: float, metric: str = "euclidean") -> DataFrame:
     """Rows within ``eps`` of each row, itself included: (id, neighbours)."""
     from .tiles import collapse
 
-    p = len(cols)
+    p, metric = len(cols), METRICS[metric]
     pts = cut(collapse(df, id_col, cols))
     x = [f"x{i}" for i in range(p)]
-    deg = ball_join(pts.withColumnRenamed("_id", "_q"), pts, p, eps, {"neighbours": ("sum", "_w")})
+    deg = ball_join(pts.withColumnRenamed("_id", "_q"), pts, p, eps, {"neighbours": ("sum", "_w")}, metric)
     rows = df.select(name(id_col).alias("id"), *[name(c).cast("double").alias(xi) for c, xi in zip(cols, x)])
     return (
         rows.join(pts.select(F.col("_id").alias("_q"), *x), x)
@@ -308,18 +414,22 @@ def eps_degree(df: DataFrame, id_col: str, cols: Sequence[str], eps: float) -> D
     )
 
 
-def cell_links(core: DataFrame, p: int, eps: float) -> tuple[DataFrame, DataFrame]:
+def cell_links(core: DataFrame, p: int, eps: float, metric: str = "euclidean") -> tuple[DataFrame, DataFrame]:
     """Cells of core points and the pairs of cells joined by a core pair within ``eps``.
 
-    Cells have side eps / sqrt(p): points of one cell are always within eps of each other. Pairs of
+    Cells have side eps / sqrt(p) (manhattan: eps / p): points of one cell are always within eps of each other. Pairs of
     neighbouring cells are settled by their boxes where possible (all within eps, or none), by
     their few points, or by halving the cells and looking again. Returns (points with their cell id
     ``cell``, links ``a, b``).
     """
-    side = eps / math.sqrt(p) * (1 - 1e-12)
-    m = max(math.ceil(math.sqrt(p)), 1)
+    square = metric == "euclidean"
+    sides = math.sqrt(p) if square else p  # cell sides that a pair within eps can span in one column
+    side = eps / sides * (1 - 1e-12)
+    m = max(math.ceil(sides), 1)
     g = min(p, GRID_DIMS)
-    e2 = F.lit(float(eps) ** 2)
+    e2 = F.lit(float(eps) ** 2 if square else float(eps))
+    box_near, box_far = (box_near_sq, box_far_sq) if square else (box_near_l1, box_far_l1)
+    between = squared_distance if square else manhattan_distance
     x = [f"x{j}" for j in range(p)]
     top = grid_nodes(core, p, side, 0, {"cell": F.min("_id")})
     cells = top.select("key", "cell")
@@ -334,8 +444,8 @@ def cell_links(core: DataFrame, p: int, eps: float) -> tuple[DataFrame, DataFram
 
     def judge(d):
         (alo, ahi), (blo, bhi) = cols_of("a_"), cols_of("b_")
-        return d.filter(box_near_sq(alo, ahi, blo, bhi) <= e2).withColumn(
-            "linked", box_far_sq(alo, ahi, blo, bhi) <= e2
+        return d.filter(box_near(alo, ahi, blo, bhi) <= e2).withColumn(
+            "linked", box_far(alo, ahi, blo, bhi) <= e2
         )
 
     coarse = F.transform(F.slice("key", 1, g), lambda v: F.floor(v / F.lit(m)).cast("long"))
@@ -356,7 +466,7 @@ def cell_links(core: DataFrame, p: int, eps: float) -> tuple[DataFrame, DataFram
         pts = owned.select(grid_key(p, side, level).alias("key"), *x)
         ax = pts.select(F.col("key").alias("a_key"), *[F.col(c).alias(f"a{c}") for c in x])
         bx = pts.select(F.col("key").alias("b_key"), *[F.col(c).alias(f"b{c}") for c in x])
-        near = squared_distance([F.col(f"a{c}") for c in x], [F.col(f"b{c}") for c in x]) <= e2
+        near = between([F.col(f"a{c}") for c in x], [F.col(f"b{c}") for c in x]) <= e2
         direct = (
             open_.filter(few)
             .select("a_cell", "b_cell", "a_key", "b_key")

@@ -203,10 +203,13 @@ def fixed_spec(df, id_col, cols, clusters: int = 3, method: str = "exact", seed:
 
 def knn_embedding(
     df: DataFrame, id_col: str, cols: Sequence[str], k_vectors: int, p: int = 8,
-    sigma: float = 1.0, seed: int = 42, parts: int = 100, tol: float = graph.TOLERANCE,
+    sigma: float = 1.0, seed: int = 42, parts: int = 100, tol: float = graph.TOLERANCE, search: str = "exact",
 ):
-    """Bottom generalised eigenvectors L y = lambda D y of the symmetrised heat-kernel kNN graph."""
-    near = knn(df, id_col, cols, p)
+    """Bottom generalised eigenvectors L y = lambda D y of the symmetrised heat-kernel kNN graph.
+
+    ``search`` is the method of the neighbour graph: "exact" or "lsh".
+    """
+    near = knn(df, id_col, cols, p, method=search)
     edges = cut(graph.symmetrise(graph.heat_weights(near, sigma)))
     deg = graph.degrees(edges).select("id", F.greatest("degree", F.lit(1e-300)).alias("degree"))
     vec = kmeans.vectors(df.withColumn("id", name(id_col).cast("long")), cols, ["id"])
@@ -250,10 +253,10 @@ def regression_coefficients(df: DataFrame, cols, targets, mode: str = "default",
 
 def mcfs(
     df: DataFrame, id_col: str, cols: Sequence[str], clusters: int = 3, p: int = 8, sigma: float = 1.0,
-    mode: str = "default", alpha: float = 0.01, skip_trivial: bool = False, seed: int = 42,
+    mode: str = "default", alpha: float = 0.01, skip_trivial: bool = False, seed: int = 42, search: str = "exact",
 ) -> DataFrame:
     """Largest absolute regression coefficient over the bottom eigenvectors of the kNN graph."""
-    vec, lam, _ = knn_embedding(df, id_col, cols, clusters, p, sigma, seed=seed)
+    vec, lam, _ = knn_embedding(df, id_col, cols, clusters, p, sigma, seed=seed, search=search)
     x, ys = [f"x{i}" for i in range(len(cols))], [f"v{i}" for i in range(len(lam))]
     rows = df.select(
         name(id_col).cast("long").alias("id"), *[name(c).cast("double").alias(xi) for c, xi in zip(cols, x)]

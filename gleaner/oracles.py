@@ -342,20 +342,35 @@ O["soft_threshold_rows"] = f"SELECT event_id, {r6('greatest(greatest(value - 20,
 
 O["birch_summaries"] = f"""WITH {PART}, c AS (SELECT *, floor(x0 / (1 / sqrt(2))) AS a, floor(x1 / (1 / sqrt(2))) AS b FROM pts)
 SELECT count(*) AS n, {r6('sum(x0)', 's0')}, {r6('sum(x1)', 's1')}, {r6('sum(x0 * x0 + x1 * x1)', 'ss')} FROM c GROUP BY a, b"""
+O["birch_features"] = f"""WITH {PART} SELECT count(*) AS n, {r6('sum(x0)', 's0')}, {r6('sum(x1)', 's1')}, {r6('sum(x0 * x0 + x1 * x1)', 'ss')},
+0::BIGINT AS too_wide, count(*) AS members, 1::BIGINT AS features_per_row FROM pts"""
 O["gmm_estep"] = f"""WITH {PART}, m AS (SELECT p_type, count(*) / (SELECT count(*) FROM pts)::DOUBLE AS w, avg(x0) AS m0, avg(x1) AS m1,
 var_pop(x0) + 1e-6 AS v0, var_pop(x1) + 1e-6 AS v1 FROM pts GROUP BY p_type),
 l AS (SELECT p_partkey, ln(w) - 0.5 * (ln(2 * pi() * v0) + ln(2 * pi() * v1)) - 0.5 * (pow(x0 - m0, 2) / v0 + pow(x1 - m1, 2) / v1) AS lp FROM pts, m),
 t AS (SELECT p_partkey, lp, max(lp) OVER (PARTITION BY p_partkey) AS top FROM l)
 SELECT p_partkey, {r6('any_value(top) + ln(sum(exp(lp - top)))', 'log_likelihood')}, {r6('1 / sum(exp(lp - top))', 'max_responsibility')} FROM t GROUP BY p_partkey"""
-_DB = f"""{PART}, nb AS (SELECT a.p_partkey AS a, b.p_partkey AS b FROM pts a JOIN pts b ON {_eps.format(e=0.1)}),
-core AS (SELECT a AS id FROM nb GROUP BY a HAVING count(*) >= 8)"""
-O["dbscan_core"] = f"WITH {_DB} SELECT p_partkey, p_partkey IN (SELECT id FROM core) AS core FROM pts"
-O["cl_dbscan"] = f"""WITH RECURSIVE {_DB}, ce AS (SELECT a, b FROM nb WHERE a IN (SELECT id FROM core) AND b IN (SELECT id FROM core)),
+_L1 = "abs(a.x0 - b.x0) + abs(a.x1 - b.x1) <= {e}"
+
+
+def _core_graph(near: str, least: int) -> str:
+    return f"""{PART}, nb AS (SELECT a.p_partkey AS a, b.p_partkey AS b FROM pts a JOIN pts b ON {near}),
+core AS (SELECT a AS id FROM nb GROUP BY a HAVING count(*) >= {least})"""
+
+
+def _dbscan(near: str, least: int, key: str = "p_partkey") -> str:
+    return f"""WITH RECURSIVE {_core_graph(near, least)}, ce AS (SELECT a, b FROM nb WHERE a IN (SELECT id FROM core) AND b IN (SELECT id FROM core)),
 reach(id, root) AS (SELECT id, id FROM core UNION SELECT ce.b, reach.root FROM reach JOIN ce ON ce.a = reach.id WHERE reach.root < ce.b),
 comp AS (SELECT id, min(root) AS comp FROM reach GROUP BY id),
 lab AS (SELECT id, dense_rank() OVER (ORDER BY comp) - 1 AS label FROM comp),
 border AS (SELECT nb.a AS id, min(lab.label) AS label FROM nb JOIN lab ON lab.id = nb.b WHERE nb.a NOT IN (SELECT id FROM core) GROUP BY nb.a)
-SELECT p_partkey, coalesce(lab.label, border.label, -1)::BIGINT AS label FROM pts LEFT JOIN lab ON lab.id = p_partkey LEFT JOIN border ON border.id = p_partkey"""
+SELECT p_partkey AS {key}, coalesce(lab.label, border.label, -1)::BIGINT AS label FROM pts LEFT JOIN lab ON lab.id = p_partkey LEFT JOIN border ON border.id = p_partkey"""
+
+
+O["dbscan_core"] = f"WITH {_core_graph(_eps.format(e=0.1), 8)} SELECT p_partkey, p_partkey IN (SELECT id FROM core) AS core FROM pts"
+O["cl_dbscan"] = _dbscan(_eps.format(e=0.1), 8)
+O["cl_optics_dbscan"] = _dbscan(_eps.format(e=0.15), 10, "id")
+O["cl_optics_dbscan_manhattan"] = _dbscan(_L1.format(e=0.15), 10, "id")
+O["eps_join_manhattan"] = f"WITH {PART} SELECT a.p_partkey, count(*) AS neighbours FROM pts a JOIN pts b ON {_L1.format(e=0.1)} GROUP BY a.p_partkey"
 
 
 def _core_distance(d: str) -> str:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from . import recipes as R
 from .functions.numeric import r6, soft_threshold, unpivot
 from .operators import (
-    assign, cluster, density, graph, kmeans as km, localised, measures, neighbours, prep, profile,
+    assign, cluster, density, graph, kmeans as km, localised, measures, neighbours, outliers, prep, profile,
     profile_ext as ext, select, tiles,
 )
 from .operators.order import with_row_id
@@ -135,6 +135,12 @@ def impute_mean(spark, sf):
     return _rounded(prep.impute_mean(d, ["l_quantity", "l_extendedprice"]))
 
 
+def outlier_iforest(spark, sf):
+    """Every line item's isolation score; the hundredth that scores highest is marked."""
+    d = outliers.isolation_forest(R.line_matrix(spark, sf), "row_id", R.LINE_COLS, contamination=0.01)
+    return d.select(F.col("id").alias("row_id"), r6(F.col("score")).alias("score"), "outlier")
+
+
 def row_number(spark, sf):
     """Dense row numbers over a whole table without a single-task window."""
     d = R.table(spark, sf, "orders").select("o_orderkey", "o_totalprice")
@@ -292,6 +298,12 @@ def knn_part(spark, sf):
     return n.groupBy(F.col("src").alias("p_partkey")).agg(r6(F.max("d")).alias("kth"), r6(F.sum("d")).alias("total"))
 
 
+def knn_lsh(spark, sf):
+    """Random-projection hash tables instead of all blocks; some neighbours may be missed."""
+    n = neighbours.knn(R.wide_raw(spark, sf), "vec_id", R.WIDE, 8, method="lsh")
+    return n.select("src", "dst", r6(F.col("d")).alias("d"))
+
+
 def heat_graph(spark, sf):
     return graph.heat_weights(_knn(spark, sf)).select("src", "dst", r6(F.col("w")).alias("w"))
 
@@ -305,6 +317,11 @@ def eps_join(spark, sf):
     return neighbours.eps_degree(R.part_scaled(spark, sf), "p_partkey", R.PART_COLS, 0.1).withColumnRenamed("id", "p_partkey")
 
 
+def eps_join_manhattan(spark, sf):
+    d = neighbours.eps_degree(R.part_scaled(spark, sf), "p_partkey", R.PART_COLS, 0.1, "manhattan")
+    return d.select(F.col("id").alias("p_partkey"), "neighbours")
+
+
 def cluster_jaccard(spark, sf):
     j = assign.jaccard(R.line(spark, sf), "l_returnflag", "l_linenumber")
     return j.select("a", F.col("b").cast("long").alias("b"), r6(F.col("jaccard")).alias("jaccard"))
@@ -485,6 +502,23 @@ def birch_summaries(spark, sf):
     return s.select("n", *[r6(F.col(c)).alias(c) for c in ("s0", "s1", "ss")])
 
 
+def birch_features(spark, sf):
+    """Totals of the summaries that clustering starts from, and whether each keeps to the radius."""
+    d = R.part_scaled(spark, sf).select(F.col("p_partkey").alias("id"), F.col("p_size").alias("x0"), F.col("p_retailprice").alias("x1"))
+    f, members = cluster.birch_features(d, 2, 0.5)
+    wide = F.col("ss") / F.col("n") - F.pow(F.col("s0") / F.col("n"), F.lit(2)) - F.pow(F.col("s1") / F.col("n"), F.lit(2))
+    totals = f.agg(
+        F.sum("n").cast("long").alias("n"), *[r6(F.sum(c)).alias(c) for c in ("s0", "s1", "ss")],
+        F.count(F.when(wide > 0.25 + 1e-6, 1)).alias("too_wide"),
+    )
+    alone = members.groupBy("id").count().agg(F.count(F.lit(1)).alias("members"), F.max("count").alias("features_per_row"))
+    return totals.crossJoin(alone)  # one row each
+
+
+def cl_power_iteration(spark, sf):
+    return cluster.power_iteration(R.part_scaled(spark, sf), "p_partkey", R.PART_COLS, 4)
+
+
 def cl_gmm(spark, sf):
     return cluster.gaussian_mixture(R.line_matrix(spark, sf), "row_id", R.LINE_COLS, 3, "full")
 
@@ -515,6 +549,10 @@ def cl_optics_dbscan(spark, sf):
     return density.optics_dbscan(R.part_scaled(spark, sf), "p_partkey", R.PART_COLS, 0.15, 10)
 
 
+def cl_optics_dbscan_manhattan(spark, sf):
+    return density.optics_dbscan(R.part_scaled(spark, sf), "p_partkey", R.PART_COLS, 0.15, 10, "manhattan")
+
+
 def optics_core_distance(spark, sf):
     d = density.optics_core_distance(R.part_scaled(spark, sf), "p_partkey", R.PART_COLS, 10)
     return d.select(F.col("id").alias("p_partkey"), r6(F.col("core_distance")).alias("core_distance"))
@@ -706,17 +744,17 @@ QUERIES = {
     for f in (
         load_roles, pending_datasets, prep_batch, synth_blobs, synth_classification, synth_moons, synth_circles,
         synth_moons_noise, prep_dropna, prep_drop_target, prep_onehot, prep_ordinal, prep_truncate, prep_scale,
-        prep_full, prep_full_orders, impute_mean, row_number, mf_general, mf_shape, mf_labels, mf_numeric_sparsity,
+        prep_full, prep_full_orders, impute_mean, outlier_iforest, row_number, mf_general, mf_shape, mf_labels, mf_numeric_sparsity,
         mf_skewness, mf_kurtosis, mf_correlation, mf_covariance, mf_covariance_wide, mf_pca, mf_entropy,
         mf_mutual_information, mf_vector, mfx_general, mfx_location, mfx_spread, mfx_shape, mfx_pairs,
         mfx_correlated_share, mfx_eigen, mfx_outliers, mfx_attr_ent, mfx_attr_conc, mfx_complexity,
-        mfx_one_itemset, mfx_two_itemset, mfx_summary, pair_distance, rbf_degree, knn_graph, knn_part, heat_graph,
-        graph_laplacian, eps_join, cluster_jaccard, assign_nearest, scatter_matrices, scatter_separability,
+        mfx_one_itemset, mfx_two_itemset, mfx_summary, pair_distance, rbf_degree, knn_graph, knn_part, knn_lsh, heat_graph,
+        graph_laplacian, eps_join, eps_join_manhattan, cluster_jaccard, assign_nearest, scatter_matrices, scatter_separability,
         spectral_embedding, mcfs_coefs, select_topk, select_threshold, select_topk_project, fs_normalized_cut,
         fs_generic_spec, fs_normalized_cut_rff, fs_fixed_spec, fs_mcfs, fs_wkmeans, wkmeans_weights,
         fs_sparse_kmeans, sparse_kmeans_objective, sparse_kmeans_objective_line, soft_weights,
-        soft_threshold_rows, fs_lfsbss, cl_kmeans, cl_bisecting, cl_minibatch_kmeans, cl_birch, birch_summaries,
-        cl_gmm, cl_gmm_diag, gmm_estep, cl_dbscan, dbscan_core, cl_optics_dbscan, optics_core_distance,
+        soft_threshold_rows, fs_lfsbss, cl_kmeans, cl_bisecting, cl_minibatch_kmeans, cl_birch, birch_summaries, birch_features, cl_power_iteration,
+        cl_gmm, cl_gmm_diag, gmm_estep, cl_dbscan, dbscan_core, cl_optics_dbscan, cl_optics_dbscan_manhattan, optics_core_distance,
         optics_core_distance_manhattan, cl_mean_shift, mean_shift_step, cl_spectral, cl_spectral_rbf,
         affinity_kernels, cl_single_linkage, cl_affinity_propagation, measure_silhouette,
         measure_silhouette_squared, measure_davies_bouldin, measure_calinski_harabasz, measure_degenerate,

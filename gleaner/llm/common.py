@@ -232,5 +232,15 @@ def join_unique(left: DataFrame, right: DataFrame, keys: list[str], share: int =
     return left.join(held, keys).unionByName(rest)
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores behind it as keep it apart from the columns of ``df``."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        out.append(n)
+    return out
+
+
 def column_type(df: DataFrame, name: str) -> str:
     return df.schema[name].dataType.simpleString()

@@ -103,7 +103,7 @@ def grams(own: Column) -> Column:
 
 def paragraphs(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, _row, _copy, par, text): the lines of a text that hold more than spaces, numbered from 0."""
-    rows = docs.select(F.col(id_col).alias("id"), F.hash(text_col).alias("_row"), F.col(text_col).alias("_text"))
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("_row"), F.col(text_col).alias("_text"))
     rows = rows.withColumn("_copy", F.monotonically_increasing_id())
     lines = rows.select("id", "_row", "_copy", F.posexplode(F.split("_text", "\n", -1)).alias("par", "text"))
     return lines.filter(F.trim("text") != "")
@@ -254,7 +254,7 @@ def by_document(docs: DataFrame, id_col: str, text_col: str, model: Model, thres
         )
     )
     n = F.size(F.filter(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1), lambda x: F.trim(x) != ""))
-    own = docs.select(F.col(id_col).alias("id"), F.hash(text_col).alias("_row"), n.cast("bigint").alias("n_paragraphs"))
+    own = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("_row"), n.cast("bigint").alias("n_paragraphs"))
     joined = own.join(sums, own["id"].eqNullSafe(sums["id"]) & (own["_row"] == sums["_row"]), "left")
     zero = F.lit(0).cast("bigint")
     return joined.select(

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import cut
+from .common import unused
 
 PERCENT, MIN_PAGES = 10, 5
 MAX_LISTED = 500_000  # listed lines up to which the lists are broadcast, 24 bytes each
@@ -48,24 +49,25 @@ def drop_boilerplate(
     lines of nothing but spaces are neither counted nor dropped. A null host is a host like any other, a null text has no
     lines and stays null, and a text may become empty. Repeated rows count as pages of their own. An empty table gives no rows.
     """
+    host, held, salt, own_salt = unused(pages, "__host", "__listed", "__salt", "__own")
     lists = cut(boilerplate(pages, host_col, text_col, percent, min_pages).select(
-        F.col("host").alias("__host"), F.col("lines").alias("__listed")
+        F.col("host").alias(host), F.col("lines").alias(held)
     ))
-    listed = lists.agg(F.sum(F.size("__listed"))).first()[0] or 0
+    listed = lists.agg(F.sum(F.size(held))).first()[0] or 0
     if listed <= MAX_LISTED:
-        joined = pages.join(F.broadcast(lists), F.col(host_col).eqNullSafe(F.col("__host")), "left")
+        joined = pages.join(F.broadcast(lists), F.col(host_col).eqNullSafe(F.col(host)), "left")
     else:
-        salted = lists.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        own = pages.withColumn("__own", F.pmod(F.xxhash64(text_col), F.lit(SALTS)).cast("int"))
-        same = F.col(host_col).eqNullSafe(F.col("__host")) & (F.col("__own") == F.col("__salt"))
+        salted = lists.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        own = pages.withColumn(own_salt, F.pmod(F.xxhash64(text_col), F.lit(SALTS)).cast("int"))
+        same = F.col(host_col).eqNullSafe(F.col(host)) & (F.col(own_salt) == F.col(salt))
         joined = own.join(salted, same, "left")
     lines = _lines(text_col)
-    stay = F.filter(lines, lambda x: ~F.array_contains(F.col("__listed"), _key(x)))
-    kept = F.when(F.col("__listed").isNull(), F.col(text_col)).otherwise(F.array_join(stay, "\n"))
+    stay = F.filter(lines, lambda x: ~F.array_contains(F.col(held), _key(x)))
+    kept = F.when(F.col(held).isNull(), F.col(text_col)).otherwise(F.array_join(stay, "\n"))
     columns = [kept.alias(c) if c == text_col else F.col(c) for c in pages.columns]
     if counts:
         before = F.when(F.col(text_col).isNull(), 0).otherwise(F.size(lines))
-        gone = F.when(F.col("__listed").isNull() | F.col(text_col).isNull(), 0).otherwise(F.size(lines) - F.size(stay))
+        gone = F.when(F.col(held).isNull() | F.col(text_col).isNull(), 0).otherwise(F.size(lines) - F.size(stay))
         columns += [before.cast("bigint").alias(counts[0]), gone.cast("bigint").alias(counts[1])]
     return joined.select(*columns)
 

@@ -10,7 +10,7 @@ Entropy grows with the length of a text, so besides its fixed limits it has a fl
 over the logarithm of the words, fitted per band, less ``SPREADS`` robust deviations. Tables of cells have little entropy for
 their length. Bands of fewer than ``LEAST`` different texts keep their fixed limits alone.
 
-Words are tokenised one by one, so a word's tokens are remembered within a task. One pass over the texts; only the counts and
+Words are tokenised one by one, so a word's tokens are remembered within a worker, over its tasks. One pass over the texts; only the counts and
 measures are read again.
 """
 
@@ -28,10 +28,11 @@ from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructType
 
 from ..session import cut
-from .common import CACHE, gram_hashes, mix, raw_text
+from .common import CACHE, gram_hashes, mix, per_worker, raw_text
 
 MIN_WORDS = 50
 MAX_REPEATED = 50  # percent of words in repeated 3-word windows
+LONGEST = 64  # bytes of a word that is remembered
 SYMBOLS = b"#*$%&|<>"
 LEAST, SPREADS = 50, 4.0
 NARROW = 0.05  # bits that a robust deviation counts at least, where most texts are alike
@@ -99,16 +100,18 @@ class Vocabularies:
 
     def measure(self, words: list[bytes], times: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
         """Of distinct words and how often each occurs: byte-level tokens, distinct pieces, and how often each occurs."""
-        new = [w for w in words if w not in self.known]
-        if len(self.known) + len(new) > CACHE:
-            self.known.clear()
+        known = self.known
+        new = [w for w in words if w not in known]
+        if len(known) + len(new) > CACHE:
+            known.clear()
             new = words
+        long: dict[bytes, tuple[bytes, int]] = {}  # rare, and of any length: not remembered
         if new:
             texts = [w.decode(errors="replace") for w in new]
             encode = self.bytes.encode_ordinary
             for w, t, p in zip(new, texts, self.pieces.encode(texts, num_threads=1), strict=True):
-                self.known[w] = array("I", p).tobytes(), len(encode(" " + t))
-        found = [self.known[w] for w in words]
+                (known if len(w) <= LONGEST else long)[w] = array("I", p).tobytes(), len(encode(" " + t))
+        found = [known[w] if w in known else long[w] for w in words] if long else [known[w] for w in words]
         tokens = int(np.fromiter([n for _, n in found], np.int64, len(found)) @ times)
         pieces = np.frombuffer(b"".join([p for p, _ in found]), np.uint32)
         sizes = np.fromiter([len(p) for p, _ in found], np.int64, len(found)) // 4
@@ -143,13 +146,11 @@ def base_counts(text: bytes, words: list[bytes], codes: np.ndarray) -> tuple[int
 def assess(ranks_path: str, pieces_path: str, bands: dict[str, Band] = BANDS) -> Callable:
     """A function of the columns (text as bytes, language) that gives the counts, the measures and the verdict."""
     arrow = to_arrow_type(StructType.fromDDL(f"x {FOUND}")["x"].dataType)
-    state: dict = {}
 
     @F.arrow_udf(FOUND)
     def found(texts: pa.Array, langs: pa.Array) -> pa.Array:
-        if not state:
-            state["vocabularies"] = Vocabularies(ranks_path, pieces_path)
-        vocabularies, out = state["vocabularies"], []
+        key = "vocabularies", ranks_path, pieces_path
+        vocabularies, out = per_worker(key, lambda: Vocabularies(ranks_path, pieces_path)), []
         for text, lang in zip(texts, langs, strict=True):
             text, lang = text.as_py(), lang.as_py()
             words = text.split()
@@ -234,8 +235,12 @@ def measures(
 def keep_good(
     docs: DataFrame, text_col: str, lang_col: str | None, ranks_path: str, pieces_path: str, bands: dict[str, Band] = BANDS
 ) -> DataFrame:
-    """The rows of ``docs`` with a good verdict, all columns kept. They are written once with their measures."""
+    """The rows of ``docs`` with a good verdict, all columns kept.
+
+    All rows are written once with their measures and filtered as they are read again: a filter on a function's result, beside
+    the result itself, would make Spark call the function twice.
+    """
     found = assess(ranks_path, pieces_path, bands)(*_columns(text_col, lang_col))
-    held = cut(docs.select(F.struct(*docs.columns).alias("row"), found.alias("found")).filter("found.kept"))
+    held = cut(docs.select(F.struct(*docs.columns).alias("row"), found.alias("found"))).filter("found.kept")
     floors = entropy_floors(held.select("found.*"))
     return held.select("row", "found.*").filter(_above(floors)).select("row.*")

@@ -16,8 +16,8 @@ from .common import column_type, gram_hashes, map_arrays, map_rows, raw_text, ru
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, _row, _text): a row is known by its id and a hash of its text, so ids may repeat."""
-    return docs.select(F.col(id_col).alias("id"), F.hash(text_col).alias("_row"), raw_text(text_col).alias("_text"))
+    """(id, _row, _text): a row is known by its id and 64 bits of hash of its text, so ids may repeat."""
+    return docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("_row"), raw_text(text_col).alias("_text"))
 
 
 def same_row(left: DataFrame, right: DataFrame):
@@ -40,7 +40,7 @@ def window_runs(h: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.n
     return grams[picked[first]], first, last
 
 
-RUNS = "id {kind}, _row int, anchor bigint, reach bigint, start int, windows int"
+RUNS = "id {kind}, _row bigint, anchor bigint, reach bigint, start int, windows int"
 
 
 def seeds_and_classes(docs: DataFrame, kind: str, runs_of_text: Callable) -> tuple[DataFrame, DataFrame]:
@@ -63,7 +63,7 @@ def seeds_and_classes(docs: DataFrame, kind: str, runs_of_text: Callable) -> tup
         for key, row, text in rows:
             anchor, first, last, reach = runs(text, True)
             if n := len(anchor):
-                yield key, np.full(n, row, np.int32), anchor.view(np.int64), reach.view(np.int64), first, last - first + 1
+                yield key, np.full(n, row, np.int64), anchor.view(np.int64), reach.view(np.int64), first, last - first + 1
 
     seen = map_arrays(docs, "nothing int, anchor bigint", anchors)
     # Written first, so that the join below stands on two plain exchanges and a hot anchor can be split.
@@ -101,7 +101,7 @@ def unite(pieces: DataFrame, kind: str) -> DataFrame:
         for key, row, held in rows:
             yield key, row, [{"start": a, "end": b} for a, b in union_spans((x["start"], x["end"]) for x in held)]
 
-    return cut(map_rows(per_doc, f"id {kind}, _row int, spans array<struct<start: int, end: int>>", each))
+    return cut(map_rows(per_doc, f"id {kind}, _row bigint, spans array<struct<start: int, end: int>>", each))
 
 
 def rewrite(docs: DataFrame, spans: DataFrame, schema: str, keep: Callable[[bytes, list], tuple]) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..operators.graph import components
 from ..session import cut, parallelism
-from .common import column_type, map_rows, raw_text, small_side
+from .common import column_type, map_rows, raw_text, small_side, unused
 
 TILE = 16_384
 BLOCK = 128  # rows compared at a time inside a tile pair
@@ -196,8 +196,9 @@ def keep_first(docs: DataFrame, id_col: str, text_col: str, **options) -> DataFr
     key = F.struct(F.col(id_col).isNull().alias("unknown"), F.col(id_col).alias("id"), row.alias("row"))
     found = cut(near_duplicates(docs.select(key.alias("_key"), F.col(text_col).alias("_body")), "_key", "_body", **options))
     first = F.col("id").eqNullSafe(F.col("component_id"))
-    later = cut(found.filter(~first).select(F.col("id.id").alias("__id"), F.col("id.row").alias("__row")).distinct())
-    kept = docs.join(small_side(later), F.col(id_col).eqNullSafe(F.col("__id")) & (row == F.col("__row")), "left_anti")
+    gone_id, gone_row = unused(docs, "__id", "__row")
+    later = cut(found.filter(~first).select(F.col("id.id").alias(gone_id), F.col("id.row").alias(gone_row)).distinct())
+    kept = docs.join(small_side(later), F.col(id_col).eqNullSafe(F.col(gone_id)) & (row == F.col(gone_row)), "left_anti")
     if found.filter(first).groupBy("id").count().filter("count > 1").isEmpty():
         return kept
-    return kept.withColumn("__row", row).dropDuplicates([id_col, "__row"]).drop("__row")
+    return kept.withColumn(gone_row, row).dropDuplicates([id_col, gone_row]).drop(gone_row)

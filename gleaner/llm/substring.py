@@ -67,7 +67,7 @@ def _extend(docs: DataFrame, runs: DataFrame, kind: str, length: int) -> DataFra
             sides = ranges(start, start + length).view(np.int64)
             yield key, np.full(len(start), row, np.int32), anchor, sides, start
 
-    schema = f"id {kind}, _row int, anchor bigint, sides bigint, start int"
+    schema = f"id {kind}, _row bigint, anchor bigint, sides bigint, start int"
     spread = cut(map_arrays(with_texts(docs, runs), schema, windows))
     first = spread.groupBy("anchor", "sides").agg(F.min(place()).alias("least"), F.count(F.lit(1)).alias("n"))
     later = spread.join(first.filter("n > 1").drop("n"), ["anchor", "sides"])

@@ -175,7 +175,7 @@ def _sorted(docs: DataFrame, runs: DataFrame, kind: str, length: int, gram: int)
                 yield x["anchor"], x["share"], x["shares"], x["n"], key, row, a, k, text[a : a + k - 1 + length]
 
     schema = (
-        f"anchor bigint, share int, shares int, n bigint, id {kind}, _row int, start int, windows int, context binary"
+        f"anchor bigint, share int, shares int, n bigint, id {kind}, _row bigint, start int, windows int, context binary"
     )
     texts = map_rows(with_texts(docs, dealt, "n", "shares", "share"), schema, contexts, flush=2_000)
     # Copies of a repeated row bring the same run twice.
@@ -197,7 +197,7 @@ def _sorted(docs: DataFrame, runs: DataFrame, kind: str, length: int, gram: int)
             yield from _sort_batch(held, length, gram)
 
     schema = (
-        f"id {kind}, _row int, start int, end int, anchor bigint, block int, core bigint, share int, "
+        f"id {kind}, _row bigint, start int, end int, anchor bigint, block int, core bigint, share int, "
         "starts array<int>, strings array<bigint>"
     )
     found = cut(map_rows(texts, schema, sort))

@@ -81,8 +81,8 @@ def fingerprint(text, shingle=4, seed=42):
     return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
 
 
-def near(docs, radius=4):
-    """[(id, fingerprint, component)] of rows in order."""
+def components_of(docs, radius=4):
+    """A number per row, equal for rows of one component."""
     fp = [fingerprint(t) for _, t in docs]
     up = list(range(len(fp)))
 
@@ -95,11 +95,16 @@ def near(docs, radius=4):
         for j in range(i):
             if (fp[i] ^ fp[j]).bit_count() <= radius and root(i) != root(j):
                 up[root(i)] = root(j)
-    least = {}
-    for i, (key, _) in enumerate(docs):
+    return [root(i) for i in range(len(fp))]
+
+
+def near(docs, radius=4):
+    """[(id, fingerprint, component)] of rows in order."""
+    of, least = components_of(docs, radius), {}
+    for c, (key, _) in zip(of, docs, strict=True):
         if key is not None:
-            least[root(i)] = min(key, least.get(root(i), key))
-    return [(key, fp[i], least.get(root(i))) for i, (key, _) in enumerate(docs)]
+            least[c] = min(key, least.get(c, key))
+    return [(key, fingerprint(t), least.get(c)) for c, (key, t) in zip(of, docs, strict=True)]
 
 
 def base_quality(text):

@@ -26,6 +26,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     kept = lines.drop_boilerplate(docs, "source", "text", percent=10, min_pages=5)
+    if "n_chars" not in docs.columns:
+        return kept
     length = F.length("text").cast(docs.schema["n_chars"].dataType)
     return kept.select(*[length.alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
 

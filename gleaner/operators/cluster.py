@@ -507,15 +507,20 @@ def power_iteration(
 # ---------------------------------------------------------------- single linkage
 
 
-def single_linkage(df, id_col, cols, n_clusters: int = 10, affinity: str = "euclidean") -> DataFrame:
+def single_linkage(
+    df, id_col, cols, n_clusters: int = 10, affinity: str = "euclidean", height: float | None = None
+) -> DataFrame:
     """Cut the n_clusters - 1 heaviest edges of the minimum spanning tree; the pieces are the clusters.
 
-    Clusters are numbered by their smallest id.
+    With ``height`` all edges longer than it are cut instead. Clusters are numbered by their smallest id.
     """
     rows = _rows(df, id_col, cols)
     tree = cut(graph.spanning_tree(rows, "id", [f"x{i}" for i in range(len(cols))], affinity))
-    heavy = tree.orderBy(F.desc("d"), "a", "b").limit(max(n_clusters - 1, 0))
-    light = tree.join(heavy.select("a", "b"), ["a", "b"], "left_anti")
+    if height is None:
+        heavy = tree.orderBy(F.desc("d"), "a", "b").limit(max(n_clusters - 1, 0))
+        light = tree.join(heavy.select("a", "b"), ["a", "b"], "left_anti")
+    else:
+        light = tree.filter(F.col("d") <= F.lit(float(height)))
     comp = cut(graph.components(rows.select("id"), light.select("a", "b")))
     ranked = with_row_id(comp.select("comp").distinct(), ["comp"], "label")
     return comp.join(ranked, "comp").select("id", "label")

@@ -93,11 +93,21 @@ def normalised_laplacian(edges: DataFrame) -> DataFrame:
     return off.unionByName(diag)
 
 
-def spanning_tree(df: DataFrame, id_col: str, cols: Sequence[str], metric: str = "euclidean") -> DataFrame:
+LIST = 12  # neighbours that the first rounds of a spanning tree look at
+
+
+def spanning_tree(df: DataFrame, id_col: str, cols: Sequence[str], metric: str = "euclidean", k: int = LIST) -> DataFrame:
     """Exact minimum spanning tree of the complete distance graph: (a, b, d).
 
-    Boruvka rounds. In each, tiles find the shortest edge leaving every component; ties are broken
-    by (distance, ids), a strict order, so the chosen edges never close a cycle.
+    Boruvka rounds: every component adds the shortest edge that leaves it; ties are broken by (distance, ids), a strict
+    order, so the chosen edges never close a cycle.
+
+    * The first rounds look at each row's ``k`` nearest rows only. The shortest listed edge that leaves a component is its
+      shortest one if it is shorter than the reach of every row whose whole list lies inside; other components sit the
+      round out. When none is sure any more, what is left are groups of over ``k`` rows each.
+    * The other rounds compare pairs of row blocks along a space-filling curve. No component's edge is longer than the greatest
+      distance between the boxes of one of its blocks and a foreign one, so block pairs whose boxes are further apart than
+      this, and pairs inside one component, are not visited. Cosine distances have no box bounds and visit all pairs.
     """
     metric, p = METRICS[metric], len(cols)
     rows = cut(
@@ -115,10 +125,64 @@ def spanning_tree(df: DataFrame, id_col: str, cols: Sequence[str], metric: str =
         .filter("a <> b")
         .select("a", "b", F.lit(0.0).alias("d"))
     )
-    blocks = block_count(df, first.count())
-    placed = hash_blocks(first, "_id", blocks)
     comp = first.select(F.col("_id").alias("id"), F.col("_id").alias("comp"))
-    picks = [zero]
+    near, comp = _listed_rounds(first, comp, x, metric, k)
+    far = _block_rounds(first, comp, p, metric)
+    tree = zero
+    for part in (*near, *far):
+        tree = tree.unionByName(part)
+    return tree
+
+
+def _chosen(pick: DataFrame, comp: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Edges of one round's picks (comp, d, a, b, to), and the components they leave. Not every component need pick."""
+    idle = pick.select(F.col("to").alias("comp")).distinct().join(pick.select("comp"), "comp", "left_anti")
+    root = _flatten(pick.select("comp", "to").unionByName(idle.select("comp", F.col("comp").alias("to"))))
+    merged = cut(
+        comp.join(root, "comp", "left").select("id", F.coalesce("to", "comp").alias("comp"))
+    )
+    return pick.select("a", "b", "d").dropDuplicates(["a", "b"]), merged
+
+
+def _listed_rounds(first: DataFrame, comp: DataFrame, x: list[str], metric: str, k: int) -> tuple[list, DataFrame]:
+    """Rounds on the lists of nearest rows: the edges found, and the components at the end."""
+    from .neighbours import knn
+
+    near = cut(knn(first, "_id", x, k, metric))
+    # A row with fewer than k others has them all in its list.
+    reach = near.groupBy(F.col("src").alias("id")).agg(F.max("d").alias("reach"), F.count(F.lit(1)).alias("n"))
+    reach = cut(reach.filter(F.col("n") >= k).select("id", "reach"))
+    edges, picks = near, []
+    while True:
+        src = comp.select(F.col("id").alias("src"), F.col("comp").alias("comp"))
+        dst = comp.select(F.col("id").alias("dst"), F.col("comp").alias("to"))
+        edges = cut(
+            edges.select("src", "dst", "d").join(src, "src").join(dst, "dst").filter("comp <> to")
+        )
+        best = edges.groupBy("comp").agg(
+            F.min(F.struct("d", F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"), "to")).alias("e")
+        )
+        spent = reach.join(edges.select(F.col("src").alias("id")).distinct(), "id", "left_anti").join(comp, "id")
+        least = spent.groupBy("comp").agg(F.min("reach").alias("reach"))
+        sure = best.join(least, "comp", "left").filter("reach IS NULL OR e.d < reach")
+        pick = cut(sure.select("comp", "e.*"))
+        if pick.isEmpty():
+            return picks, comp
+        found, comp = _chosen(pick, comp)
+        picks.append(found)
+
+
+def _block_rounds(first: DataFrame, comp: DataFrame, p: int, metric: str) -> list:
+    """Rounds on pairs of row blocks until one component is left."""
+    if comp.select("comp").distinct().limit(2).count() < 2:
+        return []
+    from .neighbours import along_curve
+
+    blocks = block_count(first, first.count())
+    boxed = metric != "cosine"
+    placed = along_curve(first, p, blocks, one_scale=True) if boxed else hash_blocks(first, "_id", blocks)
+    placed = cut(placed.select("_b", "_id", *[f"x{i}" for i in range(p)]))
+    picks = []
 
     def best(a, b, d):
         ca, cb = a["comp"].to_numpy(), b["comp"].to_numpy()
@@ -138,20 +202,69 @@ def spanning_tree(df: DataFrame, id_col: str, cols: Sequence[str], metric: str =
         return left if same else pd.concat([left, best(b, a, d.T)])
 
     while comp.select("comp").distinct().limit(2).count() > 1:  # the number of components halves at least
-        state = placed.join(comp.withColumnRenamed("id", "_id"), "_id")
-        cand = tile_apply(state, blocks, tile, "comp long, d double, a long, b long, to long")
+        state = cut(placed.join(comp.withColumnRenamed("id", "_id"), "_id"))
+        partners = _foreign_blocks(state, p, metric) if boxed else None
+        cand = tile_apply(state, blocks, tile, "comp long, d double, a long, b long, to long", partners)
         pick = cut(
             cand.groupBy("comp")
             .agg(F.min(F.struct("d", "a", "b", "to")).alias("e"))
             .select("comp", "e.*")
         )
-        picks.append(pick.select("a", "b", "d").dropDuplicates(["a", "b"]))
-        root = _flatten(pick.select("comp", "to"))
-        comp = cut(comp.join(root, "comp").select("id", F.col("to").alias("comp")))
-    tree = picks[0]
-    for part in picks[1:]:
-        tree = tree.unionByName(part)
-    return tree
+        found, comp = _chosen(pick, comp)
+        picks.append(found)
+    return picks
+
+
+def _foreign_blocks(state: DataFrame, p: int, metric: str) -> DataFrame:
+    """Block pairs (_b, _o), in both directions, that may hold the shortest edge leaving some component.
+
+    A block in one component is an end of an edge no longer than its greatest distance to a block that is not all in that
+    component; a block that mixes components has such an edge, for each of them, to every block that mixes some, itself
+    included. A component's shortest edge is bounded by the least of these over its blocks, and a block looks as far as
+    the loosest bound of its components. Boxes, one per block, are shipped.
+    """
+    square = metric == "euclidean"
+    box = [f(f"x{j}").alias(f"{t}{j}") for j in range(p) for t, f in (("lo", F.min), ("hi", F.max))]
+    boxes = cut(state.groupBy("_b").agg(F.min("comp").alias("least"), F.max("comp").alias("most"), *box))
+    table = boxes.toPandas().sort_values("_b")  # one row per block
+    lo, hi = table[[f"lo{j}" for j in range(p)]].to_numpy(float), table[[f"hi{j}" for j in range(p)]].to_numpy(float)
+    ids, least, most = (table[c].to_numpy() for c in ("_b", "least", "most"))
+    shared = state.sparkSession.sparkContext.broadcast((ids, lo, hi, least, most))
+
+    def length(gap):
+        return np.sqrt((gap * gap).sum(1)) if square else gap.sum(1)
+
+    def each(pdf):
+        own = shared.value
+        for row in pdf.itertuples(index=False):
+            at = int(np.searchsorted(own[0], row[0]))
+            mixed = own[3] != own[4]
+            yield at, own, mixed | mixed[at] | (own[3] != own[3][at]), mixed
+
+    def reaches(batches):
+        for pdf in batches:
+            out = []
+            for at, (bid, blo, bhi, _, _), foreign, mixed in each(pdf):
+                far = length(np.maximum(bhi - blo[at], bhi[at] - blo))
+                sure = mixed if mixed[at] else foreign  # blocks with a foreign row for each component of this one
+                out.append((bid[at], float(far[sure].min()) if sure.any() else np.inf))
+            yield pd.DataFrame(out, columns=["_b", "reach"])
+
+    reach = cut(boxes.select("_b").mapInPandas(reaches, "_b long, reach double"))
+    # A component takes the least reach of its blocks, a block the greatest of its components.
+    held = state.select("_b", "comp").distinct().join(reach, "_b")
+    of = held.groupBy("comp").agg(F.min("reach").alias("reach"))
+    bound = cut(held.select("_b", "comp").join(of, "comp").groupBy("_b").agg(F.max("reach").alias("reach")))
+
+    def partners(batches):
+        for pdf in batches:
+            for (at, (bid, blo, bhi, _, _), foreign, _), reach in zip(each(pdf), pdf["reach"]):
+                gap = length(np.maximum(0, np.maximum(blo - bhi[at], blo[at] - bhi)))
+                hit = bid[foreign & (gap <= reach * (1 + 1e-9) + 1e-12)]
+                yield pd.DataFrame({"_b": np.full(len(hit), bid[at]), "_o": hit})
+
+    one = bound.mapInPandas(partners, "_b long, _o long")
+    return one.unionByName(one.select(F.col("_o").alias("_b"), F.col("_b").alias("_o"))).distinct()
 
 
 def _flatten(pick: DataFrame) -> DataFrame:

@@ -54,22 +54,29 @@ def _nearest(a: pd.DataFrame, b: pd.DataFrame, p: int, k: int, metric: str, same
     return pd.DataFrame({"src": ia[i[top]], "dst": ib[j[top]], "d": exact[top]})
 
 
-def _z_key(df: DataFrame, p: int) -> Column:
-    """Interleaved bits of the leading columns: near rows get near keys."""
+def _z_key(df: DataFrame, p: int, one_scale: bool = False) -> Column:
+    """Interleaved bits of the leading columns: near rows get near keys. With ``one_scale`` all columns have the widest's unit."""
     g, bits = min(p, GRID_DIMS), 10
     ends = df.agg(*[f(f"x{j}").alias(f"{t}{j}") for j in range(g) for t, f in (("a", F.min), ("b", F.max))]).first()
     key = F.lit(0).cast("long")
+    widest = max((ends[f"b{j}"] - ends[f"a{j}"] for j in range(g) if ends[f"a{j}"] is not None), default=0.0)
     for j in range(g):
         lo, hi = ends[f"a{j}"], ends[f"b{j}"]
         if lo is None or lo == hi:
             continue
-        q = F.floor((F.col(f"x{j}") - F.lit(lo)) / F.lit(hi - lo) * F.lit(float(2**bits - 1))).cast("long")
+        q = F.floor((F.col(f"x{j}") - F.lit(lo)) / F.lit(widest if one_scale else hi - lo) * F.lit(float(2**bits - 1))).cast("long")
         for bit in range(bits):
             one = F.shiftright(q, bit).bitwiseAND(F.lit(1).cast("long"))
             key = key + F.shiftleft(one, bit * g + j)
     return key
 
 
+def along_curve(points: DataFrame, p: int, blocks: int, one_scale: bool = False) -> DataFrame:
+    """``points`` (_id, x0..) with a block number ``_b``: ranges of a space-filling curve, in a written table."""
+    ranged = points.withColumn("_z", _z_key(points, p, one_scale)).repartitionByRange(blocks, "_z", "_id")
+    return cut(ranged.withColumn("_b", F.spark_partition_id().cast("long")).drop("_z"))
+
+
 def _pruned_partners(pts: DataFrame, p: int, k: int, metric: str) -> DataFrame:
     """Block pairs that can hold a k-nearest pair: box gap within a block's own k-th distance."""
 
@@ -140,11 +147,7 @@ def knn(
         and blocks * (2 * p + 2) <= MAX_BOX_CELLS
     )
     if prune:
-        placed = cut(
-            reps.withColumn("_z", _z_key(reps, p))
-            .repartitionByRange(blocks, "_z", "_id")
-            .withColumn("_b", F.spark_partition_id().cast("long"))
-        )
+        placed = along_curve(reps, p, blocks)
     else:
         placed = hash_blocks(reps, "_id", blocks)
     placed = placed.select("_b", "_id", *x)

@@ -370,6 +370,8 @@ O["dbscan_core"] = f"WITH {_core_graph(_eps.format(e=0.1), 8)} SELECT p_partkey,
 O["cl_dbscan"] = _dbscan(_eps.format(e=0.1), 8)
 O["cl_optics_dbscan"] = _dbscan(_eps.format(e=0.15), 10, "id")
 O["cl_optics_dbscan_manhattan"] = _dbscan(_L1.format(e=0.15), 10, "id")
+O["linkage_height"] = _dbscan(_eps.format(e=0.04), 1, "id")
+O["linkage_height_manhattan"] = _dbscan(_L1.format(e=0.05), 1, "id")
 O["eps_join_manhattan"] = f"WITH {PART} SELECT a.p_partkey, count(*) AS neighbours FROM pts a JOIN pts b ON {_L1.format(e=0.1)} GROUP BY a.p_partkey"
 
 

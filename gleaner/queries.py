@@ -600,6 +600,21 @@ def cl_single_linkage(spark, sf):
     return cluster.single_linkage(R.wide_raw(spark, sf), "vec_id", R.WIDE, 5)
 
 
+def linkage_height(spark, sf):
+    """Single linkage of the parts, cut at a height."""
+    return cluster.single_linkage(R.part_scaled(spark, sf), "p_partkey", R.PART_COLS, height=0.04)
+
+
+def linkage_height_manhattan(spark, sf):
+    return cluster.single_linkage(R.part_scaled(spark, sf), "p_partkey", R.PART_COLS, affinity="manhattan", height=0.05)
+
+
+def spanning_tree(spark, sf):
+    """Edges and length of the minimum spanning tree of the embeddings, and its longest edge."""
+    t = graph.spanning_tree(R.wide_raw(spark, sf), "vec_id", R.WIDE)
+    return t.agg(F.count(F.lit(1)).alias("n"), r6(F.sum("d")).alias("total"), r6(F.max("d")).alias("longest"))
+
+
 def cl_affinity_propagation(spark, sf):
     return cluster.affinity_propagation(R.wide_raw(spark, sf), "vec_id", R.WIDE)
 
@@ -756,7 +771,7 @@ QUERIES = {
         soft_threshold_rows, fs_lfsbss, cl_kmeans, cl_bisecting, cl_minibatch_kmeans, cl_birch, birch_summaries, birch_features, cl_power_iteration,
         cl_gmm, cl_gmm_diag, gmm_estep, cl_dbscan, dbscan_core, cl_optics_dbscan, cl_optics_dbscan_manhattan, optics_core_distance,
         optics_core_distance_manhattan, cl_mean_shift, mean_shift_step, cl_spectral, cl_spectral_rbf,
-        affinity_kernels, cl_single_linkage, cl_affinity_propagation, measure_silhouette,
+        affinity_kernels, cl_single_linkage, linkage_height, linkage_height_manhattan, spanning_tree, cl_affinity_propagation, measure_silhouette,
         measure_silhouette_squared, measure_davies_bouldin, measure_calinski_harabasz, measure_degenerate,
         kmeans_inertia, flagship, spec_catalog, load_csv, search_candidates, search_one, search_history, search_sweep, search_trajectory,
         search_leaderboard, search_pairs,

@@ -128,9 +128,10 @@ def kurtosis(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 def covariance_matrix(df: DataFrame, cols: Sequence[str]) -> np.ndarray:
     """Sample covariance, one pass over centred rows for wide tables (p x p reaches the driver)."""
-    means = moments(df, cols)
     full = df.filter(" and ".join(f"{quoted(c)} is not null" for c in cols))
-    n = full.count()
+    n, means = full.count(), moments(full, cols)
+    if n == 0:
+        return np.full((len(cols), len(cols)), np.nan)
     centred = full.selectExpr(*[f"{quoted(c)} - ({float(means[c][0])!r}D) as x{i}" for i, c in enumerate(cols)])
     return gram(centred, centred.columns) / max(n - 1, 1)
 
@@ -138,7 +139,7 @@ def covariance_matrix(df: DataFrame, cols: Sequence[str]) -> np.ndarray:
 def pair_table(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """(i, j, cov, corr) for every ordered pair of columns, diagonal included.
 
-    Narrow tables: one aggregation of p(p+1)/2 covariances. Wide tables: a Gram matrix summed
+    Narrow tables: one aggregation of p(p+1)/2 covariances, each over the rows that have both values. Wide tables: a Gram matrix summed
     from per-partition blocks.
     """
     p = len(cols)
@@ -153,12 +154,15 @@ def pair_table(df: DataFrame, cols: Sequence[str]) -> DataFrame:
         return df.sparkSession.createDataFrame(rows, "i long, j long, cov double, corr double")
     x = [name(c).cast("double") for c in cols]
     aggs = [F.covar_samp(x[i], x[j]).alias(f"c{i}_{j}") for i in range(p) for j in range(i, p)]
+    both = lambda i, j: F.when(x[j].isNotNull(), x[i])
+    aggs += [F.covar_samp(both(i, j), x[i]).alias(f"v{i}_{j}") for i in range(p) for j in range(p) if i != j]
     row = df.agg(*aggs)
     structs = []
     for i in range(p):
         for j in range(p):
             cov = F.col(f"c{min(i, j)}_{max(i, j)}")
-            scale = F.sqrt(F.col(f"c{i}_{i}")) * F.sqrt(F.col(f"c{j}_{j}"))
+            vi, vj = (f"v{i}_{j}", f"v{j}_{i}") if i != j else (f"c{i}_{i}", f"c{i}_{i}")
+            scale = F.sqrt(vi) * F.sqrt(vj)
             structs.append(
                 F.struct(
                     F.lit(i).cast("long").alias("i"),
@@ -172,7 +176,10 @@ def pair_table(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 def correlation(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """min and max include the diagonal; the other summaries leave it out."""
-    pairs = pair_table(df, cols)
+    return correlation_row(pair_table(df, cols))
+
+
+def correlation_row(pairs: DataFrame) -> DataFrame:
     off = F.when(F.col("i") != F.col("j"), F.col("corr"))
     values = summarise(off, "_correlation")
     values["min_correlation"] = F.min("corr")
@@ -186,7 +193,11 @@ def covariance(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 def principal_components(df: DataFrame, cols: Sequence[str]):
     """Eigenvalues (descending) and loadings of the sample covariance, sign-fixed."""
-    val, vec = np.linalg.eigh(covariance_matrix(df, cols))
+    return components_of(covariance_matrix(df, cols))
+
+
+def components_of(cov: np.ndarray):
+    val, vec = np.linalg.eigh(cov)
     val, vec = val[::-1], vec[:, ::-1]
     lead = vec[np.abs(vec).argmax(0), np.arange(vec.shape[1])]
     return np.clip(val, 0, None), vec * np.where(lead < 0, -1.0, 1.0)
@@ -225,7 +236,11 @@ def _value_counts(df: DataFrame, cols: Sequence[str], extra: Sequence = ()) -> D
 
 def column_entropy(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Entropy in bits per column over non-empty values, from value counts."""
-    counts = _value_counts(df, cols)
+    return entropy_of(_value_counts(df, cols))
+
+
+def entropy_of(counts: DataFrame) -> DataFrame:
+    """Entropy per feature of a table of counts ``c``."""
     c = F.col("c").cast("double")
     n = F.sum(c)
     return counts.groupBy("feature").agg((F.log2(n) - F.sum(c * F.log2(c)) / n).alias("value"))
@@ -233,13 +248,16 @@ def column_entropy(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 def entropy(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Column entropies summarised, in units of log2 n."""
-    n = df.count()
+    return entropy_row(column_entropy(df, cols), df.count())
+
+
+def entropy_row(entropies: DataFrame, n: float) -> DataFrame:
     scale = float(np.log2(n)) if n > 1 else None
     values = {
         k: F.try_divide(v, F.lit(scale).cast("double"))
         for k, v in summarise(F.col("value"), "_entropy").items()
     }
-    return long_row(column_entropy(df, cols), values)
+    return long_row(entropies, values)
 
 
 def column_mutual_information(df: DataFrame, cols: Sequence[str], target: str) -> DataFrame:
@@ -252,7 +270,11 @@ def column_mutual_information(df: DataFrame, cols: Sequence[str], target: str) -
     text = df.select(*[name(c).cast("string").alias(c) for c in every])
     for c in every:
         text = text.filter(name(c).isNotNull() & (name(c) != ""))
-    joint = _value_counts(text, cols, extra=[name(target).alias("_t")])
+    return information_of(_value_counts(text, cols, extra=[name(target).alias("_t")]))
+
+
+def information_of(joint: DataFrame) -> DataFrame:
+    """Mutual information per feature of a table of joint counts (feature, v, _t, c)."""
     c = F.col("c").cast("double")
     clogc = lambda d: d.groupBy("feature").agg(F.sum(c * F.log(c)).alias("s"), F.sum(c).alias("n"))
     ab = clogc(joint)
@@ -291,26 +313,17 @@ METAFEATURES = tuple(name for names in GROUPS.values() for name in names)
 
 
 def vector(df: DataFrame, spec: TableSpec, names: Sequence[str] | None = None) -> DataFrame:
-    """Requested meta-features (all by default); those whose roles are absent are null."""
+    """Requested meta-features (all by default); those whose roles are absent are null.
+
+    All groups read the sums of one scan (:mod:`.profile_once`); the principal component's shape needs a second.
+    """
+    from .profile_once import groups as all_groups
+
     wanted = list(names or METAFEATURES)
     unknown = [w for w in wanted if w not in METAFEATURES]
     if unknown:
         raise ValueError(f"unknown meta-features {unknown}")
-    num = list(spec.numerical)
-    cat = [*spec.categorical, *spec.ordinal]
-    groups = {
-        "general": (True, lambda: general(df, spec)),
-        "shape": (True, lambda: shape(df, spec)),
-        "labels": (bool(spec.target), lambda: label_stats(df, spec.target)),
-        "numeric_sparsity": (bool(num), lambda: numeric_sparsity(df, num)),
-        "skewness": (bool(num), lambda: skewness(df, num)),
-        "kurtosis": (bool(num), lambda: kurtosis(df, num)),
-        "correlation": (bool(num), lambda: correlation(df, num)),
-        "covariance": (bool(num), lambda: covariance(df, num)),
-        "pca": (bool(num), lambda: pca(df, num)),
-        "entropy": (bool(cat), lambda: entropy(df, cat)),
-        "mutual_information": (bool(cat and spec.target), lambda: mutual_information(df, cat, spec.target)),
-    }
+    groups = all_groups(df, spec)
     parts = [make() for group, (ok, make) in groups.items() if ok and set(GROUPS[group]) & set(wanted)]
     asked = df.sparkSession.createDataFrame(
         [(i, w) for i, w in enumerate(wanted)], "position long, metafeature string"

@@ -190,6 +190,38 @@ O["mf_mutual_information"] = (
     "q AS (SELECT feature, sum(c / n * ln(c * n / (a * b))) AS v FROM p GROUP BY feature)"
     + rows(six("mutual_information"), "q")
 )
+def _every_group() -> str:
+    """All groups but the principal component's over one table, side by side."""
+    src = f"""{EMPTIED}, src AS (SELECT * REPLACE (l_extendedprice / 100000.0 AS l_extendedprice) FROM emptied)"""
+    moments = f"{long('src')}, m AS (SELECT *, avg(x) OVER (PARTITION BY feature) AS mu FROM lng), "
+    shapes = (
+        "sk AS (SELECT avg(pow(x - mu, 3)) / pow(avg(pow(x - mu, 2)), 1.5) AS v FROM m GROUP BY feature), "
+        "ku AS (SELECT avg(pow(x - mu, 4)) / pow(avg(pow(x - mu, 2)), 2) - 3 AS v FROM m GROUP BY feature)"
+    )
+    flags = """fl AS (SELECT l_returnflag AS v, l_linestatus AS t, count(*)::DOUBLE AS c FROM src WHERE l_returnflag <> '' GROUP BY ALL),
+fv AS (SELECT v, sum(c) AS c FROM fl GROUP BY v), fp AS (SELECT c / sum(c) OVER () AS p FROM fv),
+en AS (SELECT -sum(p * log2(p)) / (SELECT log2(count(*)) FROM src) AS v FROM fp),
+fj AS (SELECT c, sum(c) OVER () AS n, sum(c) OVER (PARTITION BY v) AS a, sum(c) OVER (PARTITION BY t) AS b FROM fl WHERE t <> ''),
+mi AS (SELECT sum(c / n * ln(c * n / (a * b))) AS v FROM fj),
+lc AS (SELECT count(*)::DOUBLE AS c FROM src WHERE l_linestatus <> '' GROUP BY l_linestatus), lp AS (SELECT c / sum(c) OVER () AS p FROM lc)"""
+    cells = [
+        ({"number_of_instances": "count(*)", "log_number_of_instances": "ln(count(*))", "number_of_missing_values": _miss,
+          "missing_values_ratio": f"({_miss})::DOUBLE / (count(*) * 6)", "sparsity": f"({_sparse})::DOUBLE / (count(*) * 6)",
+          "number_of_features": "5", "log_number_of_features": "ln(5)", "dataset_ratio": "5.0::DOUBLE / count(*)",
+          "log_dataset_ratio": "ln(5.0::DOUBLE / count(*))",
+          "sparsity_on_numeric_columns": "(" + " + ".join(f"count(*) FILTER (WHERE {c} = 0)" for c in LINE) + ")::DOUBLE / (count(*) * 4)"}, "src"),
+        ({"number_of_classes": "count(*)", "entropy_of_classes": "-sum(p * log2(p))"}, "lp"),
+        (six("skewness"), "sk"), (six("kurtosis"), "ku"),
+        (six("correlation", "CASE WHEN i <> j THEN v END", min="min(v)", max="max(v)"), "co"),
+        (six("covariance"), "cv"), (six("entropy"), "en"), (six("mutual_information"), "mi"),
+    ]
+    pairs = ", ".join(_pairs("src", fn).replace("q AS", f"{n} AS", 1) for n, fn in (("co", "corr"), ("cv", "covar_samp")))
+    ones = [f"one{i} AS (SELECT {', '.join(f'({e})::DOUBLE AS {k}' for k, e in values.items())} FROM {table})" for i, (values, table) in enumerate(cells)]
+    out = [f"SELECT '{k}' AS metafeature, {r6(k, 'value')} FROM one{i}" for i, (values, _) in enumerate(cells) for k in values]
+    return f"WITH {src}, {moments}{shapes}, {flags}, {pairs}, {', '.join(ones)} " + " UNION ALL ".join(out)
+
+
+O["mf_vector_scaled"] = _every_group()
 O["mfx_general"] = "WITH b AS (SELECT " + " + ".join(f"(count(DISTINCT {c}) = 2)::INT" for c in [*LINE, "l_returnflag"]) + " AS nb FROM lineitem)" + rows(
     {
         "nr_inst": "count(*)", "nr_attr": "5", "attr_to_inst": "5.0::DOUBLE / count(*)", "inst_to_attr": "count(*) / 5.0::DOUBLE",

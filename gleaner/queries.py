@@ -212,6 +212,13 @@ def mf_vector(spark, sf):
     return profile.vector(_line_empty(spark, sf), R.LINEITEM)
 
 
+def mf_vector_scaled(spark, sf):
+    """All groups but the principal component's, prices in units of 100,000."""
+    d = _line_empty(spark, sf).withColumn("l_extendedprice", F.col("l_extendedprice") / F.lit(100000.0))
+    names = [m for m in profile.METAFEATURES if not m.startswith("pca")]
+    return profile.vector(d, R.LINEITEM, names).select("metafeature", "value")
+
+
 def mfx_general(spark, sf):
     return ext.general(R.line(spark, sf), R.LINEITEM)
 
@@ -761,7 +768,7 @@ QUERIES = {
         synth_moons_noise, prep_dropna, prep_drop_target, prep_onehot, prep_ordinal, prep_truncate, prep_scale,
         prep_full, prep_full_orders, impute_mean, outlier_iforest, row_number, mf_general, mf_shape, mf_labels, mf_numeric_sparsity,
         mf_skewness, mf_kurtosis, mf_correlation, mf_covariance, mf_covariance_wide, mf_pca, mf_entropy,
-        mf_mutual_information, mf_vector, mfx_general, mfx_location, mfx_spread, mfx_shape, mfx_pairs,
+        mf_mutual_information, mf_vector, mf_vector_scaled, mfx_general, mfx_location, mfx_spread, mfx_shape, mfx_pairs,
         mfx_correlated_share, mfx_eigen, mfx_outliers, mfx_attr_ent, mfx_attr_conc, mfx_complexity,
         mfx_one_itemset, mfx_two_itemset, mfx_summary, pair_distance, rbf_degree, knn_graph, knn_part, knn_lsh, heat_graph,
         graph_laplacian, eps_join, eps_join_manhattan, cluster_jaccard, assign_nearest, scatter_matrices, scatter_separability,

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..functions.numeric import finite, name, r6, unpivot
 from ..sources.spec import TableSpec
-from .order import exact_quantiles
+from .order import narrowed_quantiles
 from .profile import components_needed, covariance_matrix, long_row, pair_table, principal_components
 
 
@@ -49,7 +49,7 @@ def general(df: DataFrame, spec: TableSpec) -> DataFrame:
 def location(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Per column: mean, median, geometric, harmonic and 20 %-trimmed mean."""
     long = _long(df, cols)
-    q = exact_quantiles(long, "feature", "x", (0.2, 0.5, 0.8))
+    q = narrowed_quantiles(long, "feature", "x", (0.2, 0.5, 0.8))
     j = long.join(F.broadcast(q), "feature")  # one row per column
     x, positive = F.col("x"), F.min("x") > 0
     inner = F.when((x >= F.col("q0")) & (x <= F.col("q2")), x)
@@ -65,11 +65,11 @@ def location(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 def spread(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Per column: sample variance and deviation, extremes, range, iqr, scaled mad."""
     long = _long(df, cols)
-    q = exact_quantiles(long, "feature", "x", (0.25, 0.5, 0.75))
+    q = narrowed_quantiles(long, "feature", "x", (0.25, 0.5, 0.75))
     dev = long.join(F.broadcast(q), "feature").select(
         "feature", F.abs(F.col("x") - F.col("q1")).alias("d")
     )
-    mad = exact_quantiles(dev, "feature", "d", (0.5,)).withColumnRenamed("q0", "m")
+    mad = narrowed_quantiles(dev, "feature", "d", (0.5,)).withColumnRenamed("q0", "m")
     base = long.groupBy("feature").agg(
         F.var_samp("x").alias("var"),
         F.stddev_samp("x").alias("sd"),
@@ -131,7 +131,7 @@ def eigenvalues(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 def outlier_columns(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Number of columns with a value beyond 1.5 iqr of the quartiles."""
     long = _long(df, cols)
-    q = exact_quantiles(long, "feature", "x", (0.25, 0.75))
+    q = narrowed_quantiles(long, "feature", "x", (0.25, 0.75))
     reach = F.lit(1.5) * (F.col("q1") - F.col("q0"))
     far = (F.col("x") < F.col("q0") - reach) | (F.col("x") > F.col("q1") + reach)
     flags = long.join(F.broadcast(q), "feature").groupBy("feature").agg(

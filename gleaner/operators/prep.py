@@ -10,10 +10,13 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..functions.numeric import name, quoted, unpivot
+from ..session import cut
 from ..sources.spec import TableSpec
+from .order import with_row_id
 from .outliers import remove_outliers
 
 MAX_LEVELS = 10_000
+BROADCAST_LEVELS = 200_000  # names and numbers of levels that are broadcast
 WIDE = 32
 
 
@@ -79,6 +82,33 @@ def one_hot(df: DataFrame, spec: TableSpec, keys: Sequence[str] = (), known=None
     return df.select(*[name(c) for c in rest], *flags)
 
 
+def one_hot_sparse(df: DataFrame, cols: Sequence[str], out: str = "features") -> DataFrame:
+    """Indicators of any number of levels: ``df`` without ``cols``, with a sparse vector column ``out`` in their place.
+
+    Levels are numbered in their sorted order (numbers as numbers, all else as text) by one distributed sort, the number joins
+    the rows, and every row keeps at most one entry per column. As in :func:`one_hot` the first level of a column has no
+    entry, nor has a missing value; the vector is as long as all other levels together. No list of levels leaves Spark; a
+    level that a large part of the rows holds is one row of the joined side.
+    """
+    rest = [c for c in df.columns if c not in cols]
+    if out in rest:
+        raise ValueError(f"there is a column {out!r} already")
+    slots, start = [], 0
+    for i, c in enumerate(cols):
+        level = name(c)
+        ordered = level if isinstance(df.schema[c].dataType, T.NumericType) else level.cast("string")
+        known = cut(with_row_id(df.select(ordered.alias("_level")).filter("_level IS NOT NULL").distinct(), ["_level"], "_at"))
+        size = known.count()
+        side = F.broadcast(known) if size <= BROADCAST_LEVELS else known
+        df = df.join(side.select(F.col("_level").alias(f"_level{i}"), F.col("_at").alias(f"_at{i}")), ordered == F.col(f"_level{i}"), "left")
+        slots.append(F.when(F.col(f"_at{i}") > 0, (F.col(f"_at{i}") - 1 + F.lit(start)).cast("int")))
+        start += max(size - 1, 0)
+    at = F.filter(F.array(*slots), lambda s: s.isNotNull())
+    ones = F.transform(at, lambda s: F.lit(1.0))
+    vector = F.struct(F.lit(start).alias("size"), at.alias("indices"), ones.alias("values"))
+    return df.select(*[name(c) for c in rest], vector.alias(out))
+
+
 def encode_ordinal(df: DataFrame, spec: TableSpec, unknown: str = "error") -> DataFrame:
     """Level to its rank; levels are compared as text. Unknown levels fail, or give null."""
     for c, lv in spec.ordinal.items():

@@ -98,6 +98,12 @@ O["prep_onehot"] = (
     + ", ".join(f"CASE WHEN p_type = l[{i + 1}] THEN 1 ELSE 0 END::BIGINT AS p_type_{i}" for i in range(1, 6))
     + " FROM part, lv"
 )
+O["prep_onehot_sparse"] = """WITH a AS (SELECT c_name, row_number() OVER (ORDER BY c_name) - 1 AS i FROM (SELECT DISTINCT c_name FROM customer)),
+b AS (SELECT c_mktsegment, row_number() OVER (ORDER BY c_mktsegment) - 1 AS j FROM (SELECT DISTINCT c_mktsegment FROM customer)),
+n AS (SELECT (SELECT count(*) FROM a) - 1 AS na, (SELECT count(*) FROM b) - 1 AS nb)
+SELECT c_custkey, (na + nb)::BIGINT AS size,
+array_to_string(list_filter([CASE WHEN i > 0 THEN i - 1 END, CASE WHEN j > 0 THEN na + j - 1 END], lambda v: v IS NOT NULL), ',') AS indices
+FROM customer JOIN a USING (c_name) JOIN b USING (c_mktsegment), n"""
 _prio = ["5-LOW", "4-NOT SPECIFIED", "3-MEDIUM", "2-HIGH", "1-URGENT"]
 _rank = "CASE o_orderpriority " + " ".join(f"WHEN '{v}' THEN {i}" for i, v in enumerate(_prio)) + " END::BIGINT"
 O["prep_ordinal"] = f"SELECT o_orderkey, {_rank} AS o_orderpriority FROM orders"
@@ -221,6 +227,9 @@ lc AS (SELECT count(*)::DOUBLE AS c FROM src WHERE l_linestatus <> '' GROUP BY l
     return f"WITH {src}, {moments}{shapes}, {flags}, {pairs}, {', '.join(ones)} " + " UNION ALL ".join(out)
 
 
+O["search_resume"] = """SELECT dataset, measure, 3::BIGINT AS ranked, 3::BIGINT AS evaluated,
+CASE WHEN dataset = 'part' THEN 3 ELSE 0 END::BIGINT AS ran_again, 0::BIGINT AS differ
+FROM (SELECT DISTINCT 'customer' AS dataset FROM customer UNION ALL SELECT DISTINCT 'part' FROM part), (VALUES ('calinski_harabasz'), ('davies_bouldin')) AS m(measure)"""
 O["mf_vector_scaled"] = _every_group()
 O["mfx_general"] = "WITH b AS (SELECT " + " + ".join(f"(count(DISTINCT {c}) = 2)::INT" for c in [*LINE, "l_returnflag"]) + " AS nb FROM lineitem)" + rows(
     {
@@ -439,6 +448,13 @@ c AS (SELECT label AS o, count(*) AS n, avg({' + '.join(f'{x} * {x}' for x in _s
 d AS (SELECT rid, label, o, n, {' + '.join(f'{x} * {x}' for x in _sq.values())} - 2 * ({' + '.join(f'{x} * c{x}' for x in _sq.values())}) + q AS d FROM r, c),
 p AS (SELECT rid, max(CASE WHEN label = o THEN d * n / (n - 1) END) AS a, min(CASE WHEN label <> o THEN d END) AS b FROM d GROUP BY rid)
 SELECT {r6('avg((b - a) / greatest(a, b))', 's')}, {r6('(1 - avg((b - a) / greatest(a, b))) / 2', 'measure')} FROM p"""
+O["measure_silhouette_sampled"] = f"""WITH {WIDE}, n AS (SELECT label, count(*) AS n FROM vec GROUP BY label),
+u AS (SELECT * FROM vec ORDER BY md5('42:' || vec_id::VARCHAR) LIMIT 300),
+t AS (SELECT a.vec_id, a.label, b.label AS o, sum(list_distance(a.x, b.x)) AS s, count(*) AS n FROM u a, vec b GROUP BY ALL),
+p AS (SELECT vec_id, max(CASE WHEN label = o THEN n END) AS n, max(CASE WHEN label = o THEN s END) AS own, min(CASE WHEN label <> o THEN s / n END) AS b FROM t GROUP BY vec_id),
+q AS (SELECT CASE WHEN n = 1 THEN 0 ELSE (b - own / (n - 1)) / greatest(b, own / (n - 1)) END AS s FROM p),
+r AS (SELECT avg(s) AS s, count(*) AS n, coalesce(1.96 * stddev_samp(s) / sqrt(count(*)) * sqrt(((SELECT sum(n) FROM n) - count(*)) / ((SELECT sum(n) FROM n) - 1)), 0) AS half FROM q)
+SELECT {r6('s', 's')}, {r6('s - half', 'low')}, {r6('s + half', 'high')}, {r6('(1 - s) / 2', 'measure')}, n FROM r"""
 O["measure_davies_bouldin"] = f"""WITH {WIDE}, m AS (SELECT label, j, avg(v) AS v FROM z GROUP BY ALL), c AS (SELECT label, list(v ORDER BY j) AS c FROM m GROUP BY label),
 s AS (SELECT label, avg(list_distance(x, c)) AS s FROM vec JOIN c USING (label) GROUP BY label), k AS (SELECT * FROM c JOIN s USING (label)),
 r AS (SELECT a.label, max((a.s + b.s) / list_distance(a.c, b.c)) AS r FROM k a JOIN k b ON a.label <> b.label GROUP BY a.label)

@@ -108,6 +108,13 @@ def prep_onehot(spark, sf):
     )
 
 
+def prep_onehot_sparse(spark, sf):
+    """One indicator per customer name and segment, whatever their number."""
+    d = R.table(spark, sf, "customer").select("c_custkey", "c_name", "c_mktsegment")
+    out = prep.one_hot_sparse(d, ["c_name", "c_mktsegment"])
+    return out.select("c_custkey", F.col("features.size").cast("long").alias("size"), F.array_join("features.indices", ",").alias("indices"))
+
+
 def prep_ordinal(spark, sf):
     d = prep.encode_ordinal(R.table(spark, sf, "orders").select("o_orderkey", "o_orderpriority"), R.ORDERS)
     return d.select("o_orderkey", F.col("o_orderpriority").cast("long").alias("o_orderpriority"))
@@ -633,6 +640,11 @@ def measure_silhouette(spark, sf):
     return _rounded(measures.silhouette(R.wide(spark, sf), "vec_id", R.WIDE, "label"))
 
 
+def measure_silhouette_sampled(spark, sf):
+    d = measures.silhouette_sampled(R.wide(spark, sf), "vec_id", R.WIDE, "label", sample=300)
+    return d.select(*[r6(F.col(c)).alias(c) for c in ("s", "low", "high", "measure")], "n")
+
+
 def measure_silhouette_squared(spark, sf):
     return _rounded(measures.silhouette_squared(R.line_scaled(spark, sf), R.LINE_COLS, "l_linenumber"))
 
@@ -748,6 +760,29 @@ def search_sweep(spark, sf):
     )
 
 
+def search_resume(spark, sf):
+    """A sweep that stops after one of two datasets and is taken up again: what is stored, against one run through."""
+    m, key, cols = _part_onehot(spark, sf)
+    data = {"customer": (cut(m), key, cols), "part": (cut(R.part_scaled(spark, sf)), "p_partkey", R.PART_COLS)}
+    how = dict(
+        n_evaluations=3, measures=("calinski_harabasz", "davies_bouldin"), clusterers=("KMeans",), selectors=("NullModel",),
+        cutoff=None,
+    )
+    base = scratch_path(spark)
+    search.sweep(spark, {"customer": data["customer"]}, base=base, **how)
+    resumed = search.sweep(spark, data, base=base, **how)
+    once = search.sweep(spark, data, **how)
+    columns = ["dataset", "measure", "rank", "pair", F.round("score", 9).alias("score")]
+    stored = store.read_ranking(spark, base).select(*columns)
+    found = stored.groupBy("dataset", "measure").agg(F.count(F.lit(1)).alias("ranked"))
+    evaluated = store.read_history(spark, base).groupBy("dataset", "measure").agg(F.count(F.lit(1)).alias("evaluated"))
+    again = resumed.groupBy("dataset", "measure").agg(F.count(F.lit(1)).alias("ran_again"))
+    missing = once.select(*columns).exceptAll(stored).groupBy("dataset", "measure").agg(F.count(F.lit(1)).alias("differ"))
+    by = ["dataset", "measure"]
+    out = found.join(evaluated, by).join(again, by, "left").join(missing, by, "left")
+    return out.select(*by, "ranked", "evaluated", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("ran_again", "differ")])
+
+
 def search_trajectory(spark, sf):
     return search.trajectory(R.event_history(spark, sf), ["dataset"], "candidate_id").select("dataset", "candidate_id", "score")
 
@@ -765,7 +800,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         load_roles, pending_datasets, prep_batch, synth_blobs, synth_classification, synth_moons, synth_circles,
-        synth_moons_noise, prep_dropna, prep_drop_target, prep_onehot, prep_ordinal, prep_truncate, prep_scale,
+        synth_moons_noise, prep_dropna, prep_drop_target, prep_onehot, prep_onehot_sparse, prep_ordinal, prep_truncate, prep_scale,
         prep_full, prep_full_orders, impute_mean, outlier_iforest, row_number, mf_general, mf_shape, mf_labels, mf_numeric_sparsity,
         mf_skewness, mf_kurtosis, mf_correlation, mf_covariance, mf_covariance_wide, mf_pca, mf_entropy,
         mf_mutual_information, mf_vector, mf_vector_scaled, mfx_general, mfx_location, mfx_spread, mfx_shape, mfx_pairs,
@@ -779,8 +814,8 @@ QUERIES = {
         cl_gmm, cl_gmm_diag, gmm_estep, cl_dbscan, dbscan_core, cl_optics_dbscan, cl_optics_dbscan_manhattan, optics_core_distance,
         optics_core_distance_manhattan, cl_mean_shift, mean_shift_step, cl_spectral, cl_spectral_rbf,
         affinity_kernels, cl_single_linkage, linkage_height, linkage_height_manhattan, spanning_tree, cl_affinity_propagation, measure_silhouette,
-        measure_silhouette_squared, measure_davies_bouldin, measure_calinski_harabasz, measure_degenerate,
-        kmeans_inertia, flagship, spec_catalog, load_csv, search_candidates, search_one, search_history, search_sweep, search_trajectory,
+        measure_silhouette_squared, measure_silhouette_sampled, measure_davies_bouldin, measure_calinski_harabasz, measure_degenerate,
+        kmeans_inertia, flagship, spec_catalog, load_csv, search_candidates, search_one, search_history, search_sweep, search_resume, search_trajectory,
         search_leaderboard, search_pairs,
     )
 }

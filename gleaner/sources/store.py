@@ -32,9 +32,19 @@ def read_metafeatures(spark: SparkSession, base: str, dataset: str | None = None
 
 
 def write_history(history: DataFrame, base: str, dataset: str, measure: str) -> None:
-    history.withColumn("dataset", F.lit(dataset)).withColumn("measure", F.lit(measure)).write.mode(
-        "append"
-    ).partitionBy("dataset", "measure").parquet(f"{base}/history")
+    """One folder per dataset and measure: a search that is run again replaces what it wrote before."""
+    history.write.mode("overwrite").parquet(f"{base}/history/dataset={dataset}/measure={measure}")
+
+
+def read_history(spark: SparkSession, base: str, dataset: str | None = None) -> DataFrame:
+    df = spark.read.parquet(f"{base}/history")
+    return df.filter(F.col("dataset") == dataset) if dataset else df
+
+
+def read_ranking(spark: SparkSession, base: str, dataset: str | None = None) -> DataFrame:
+    """Stored rankings; with ``dataset`` only its folder is read."""
+    df = spark.read.parquet(f"{base}/ranking")
+    return df.filter(F.col("dataset") == dataset) if dataset else df
 
 
 def write_labels(labels: DataFrame, base: str, dataset: str, measure: str, candidate_id: int) -> None:

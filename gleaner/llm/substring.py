@@ -65,7 +65,7 @@ def _extend(docs: DataFrame, runs: DataFrame, kind: str, length: int) -> DataFra
             anchor = np.repeat([x["anchor"] for x in held], [x["windows"] for x in held])
             # Equal words give equal anchors at equal distance: the window's hash stands for both of its sides.
             sides = ranges(start, start + length).view(np.int64)
-            yield key, np.full(len(start), row, np.int32), anchor, sides, start
+            yield key, np.full(len(start), row, np.int64), anchor, sides, start
 
     schema = f"id {kind}, _row bigint, anchor bigint, sides bigint, start int"
     spread = cut(map_arrays(with_texts(docs, runs), schema, windows))

@@ -21,7 +21,7 @@ def features(tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of each token: bucket of the folded word, buckets of its byte n-grams one after the other, and their number."""
     folded = [t.lower().strip(EDGES) or t for t in tokens]
     words = np.fromiter((xxhash.xxh32_intdigest(w) for w in folded), np.int64, len(folded)) % WORD_BUCKETS
-    texts = [b"<" + w[:64] + b">" for w in folded]
+    texts = [b"<" + w + b">" for w in folded]
     sizes = np.fromiter(map(len, texts), np.int64, len(texts))
     raw = np.frombuffer(b"".join(texts), np.uint8).astype(np.uint64) + np.uint64(1)
     owner = np.repeat(np.arange(len(texts)), sizes)

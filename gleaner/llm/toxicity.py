@@ -19,6 +19,7 @@ from .common import column_type, map_rows, raw_text
 from .gru import HIDDEN, Adam, features, forward, fresh, gradients, inputs
 
 WINDOW, STRIDE = 64, 48
+PIECE, OVERLAP = 64, 16  # bytes of the longest token, and what neighbouring pieces of a longer one share
 TRAIN_DOCS, TRAIN_WINDOWS = 6_000, 12  # bounds of the fitted sample
 EPOCHS, STEPS, BATCH, RATE = 7, 500, 128, 0.01  # small samples are gone through more often, for some STEPS batches
 SCORED = 1_024  # windows scored at a time
@@ -33,6 +34,18 @@ def window_starts(n: int) -> np.ndarray:
     return np.r_[starts, n - WINDOW]
 
 
+def tokens_of(text: bytes) -> list[bytes]:
+    """Words between blanks; one of more than ``PIECE`` bytes (a text without blanks is one) as pieces that overlap by ``OVERLAP``.
+
+    The network reads a token's n-grams, so every byte of a text is read, and n-grams are not cut apart.
+    """
+    out = text.split()
+    if max(map(len, out), default=0) <= PIECE:
+        return out
+    step = PIECE - OVERLAP
+    return [t[k : k + PIECE] for t in out for k in range(0, max(len(t) - OVERLAP, 1), step)]
+
+
 class Words:
     """Rows of distinct tokens with their features."""
 
@@ -100,7 +113,7 @@ def train(texts: list[tuple[bytes, int]], seed: int = 1) -> dict[str, np.ndarray
     words = Words()
     at, valid, owner = [], [], []
     for i, (text, _) in enumerate(texts):
-        tokens = text.split()
+        tokens = tokens_of(text)
         starts = window_starts(len(tokens))
         if len(starts) > TRAIN_WINDOWS:
             starts = starts[np.linspace(0, len(starts) - 1, TRAIN_WINDOWS).astype(np.int64)]
@@ -179,7 +192,7 @@ class Scorer:
         self.words, self.table = Words(), np.empty((0, 6 * HIDDEN), np.float32)
 
     def add(self, key, text: bytes) -> Iterator[tuple]:
-        tokens = text.split()
+        tokens = tokens_of(text)
         starts = window_starts(len(tokens))
         doc = [key, len(starts), -np.inf]
         self.pending.append(doc)

@@ -16,7 +16,7 @@ def test_texts_of_one_id_with_equal_short_hashes(spark, monkeypatch):
 
     rng = random.Random(11)
     shared = sentence(rng, 40)
-    found = spark.range(120_000).select(F.concat(F.lit("w"), F.col("id").cast("string")).alias("tail"))
+    found = spark.range(600_000).select(F.concat(F.lit("w"), F.col("id").cast("string")).alias("tail"))
     hashed = found.withColumn("text", F.concat(F.lit(sentence(rng, 30) + " "), F.col("tail"))).withColumn("h", F.hash("text"))
     twin = hashed.groupBy("h").agg(F.collect_list("text").alias("t")).filter(F.size("t") > 1).first()
     assert twin is not None
@@ -36,10 +36,10 @@ def test_columns_named_like_inner_ones(spark):
     names = "source string, text string, __listed int, __host int, __salt int, __own int, __row int, __id int"
     df = spark.createDataFrame(pages, names)
     kept = lines.drop_boilerplate(df, "source", "text")
-    assert kept.columns == df.columns and all("menu" not in r.text and r.__listed == 1 for r in kept.collect())
+    assert kept.columns == df.columns and all("menu" not in r.text and r["__listed"] == 1 for r in kept.collect())
     docs = df.withColumn("doc_id", F.monotonically_increasing_id()).withColumn("text", F.lit("one text for all"))
     first = simhash.keep_first(docs, "doc_id", "text")
-    assert first.columns == docs.columns and [(r.__id, r.__row) for r in first.collect()] == [(6, 5)]
+    assert first.columns == docs.columns and [(r["__id"], r["__row"]) for r in first.collect()] == [(6, 5)]
 
 
 def test_spread_lists_with_inner_names(spark, monkeypatch):
@@ -58,3 +58,28 @@ def test_quality_measures_a_text_once(edge, capsys):
     plan = kept._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "ArrowEval" not in plan
     assert kept.columns == edge.columns
+
+
+def test_every_byte_of_a_long_token_is_read():
+    from gleaner.llm import toxicity
+
+    glued = b"river_over_the_green_stone_" * 40
+    for at in (0, 70, 333, len(glued)):
+        text = glued[:at] + b"clown" + glued[at:]
+        pieces = toxicity.tokens_of(text)
+        assert any(b"clown" in p for p in pieces) and max(map(len, pieces)) <= toxicity.PIECE
+        assert b"".join([pieces[0]] + [p[toxicity.OVERLAP :] for p in pieces[1:]]) == text
+    assert toxicity.tokens_of(b" a  bc ") == [b"a", b"bc"] and toxicity.tokens_of(b"") == []
+    edge = b"x" * toxicity.PIECE
+    assert toxicity.tokens_of(edge) == [edge] and len(toxicity.tokens_of(edge + b"y")) == 2
+
+
+def test_words_behind_byte_64_change_the_score(spark):
+    from gleaner.llm import toxicity
+
+    calm, rude = b"the river runs over the green stone ", b"you are a stupid clown and it shows "
+    p = toxicity.train([(rude * 3, 1), (calm * 3, 0)] * 60)
+    long = "_".join(["the_river_runs_over_the_green_stone"] * 12)
+    rows = [(1, long), (2, long + "_you_are_a_stupid_clown_and_it_shows" * 6)]
+    got = {r.id: r.score for r in toxicity.score(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text", p).collect()}
+    assert got[2] > got[1]

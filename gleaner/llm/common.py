@@ -26,9 +26,13 @@ def rows_of(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple]:
 
 
 def map_rows(
-    df: DataFrame, schema: StructType | str, each: Callable[[Iterable[tuple]], Iterator[tuple]], flush: int = 20_000
+    df: DataFrame, schema: StructType | str, each: Callable[[Iterable[tuple]], Iterator[tuple]], flush: int = 20_000,
+    keep: tuple | None = None,
 ) -> DataFrame:
-    """``each`` turns the rows of a partition (tuples) into output rows, in Arrow batches of at most ``flush`` rows."""
+    """``each`` turns the rows of a partition (tuples) into output rows, in Arrow batches of at most ``flush`` rows.
+
+    What ``per_worker`` holds for an earlier operator is dropped first, unless its key is ``keep``.
+    """
     if isinstance(schema, str):
         schema = StructType.fromDDL(schema)
     arrow = to_arrow_schema(schema)
@@ -39,6 +43,9 @@ def map_rows(
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = sys.modules.get("_kept_by_worker")
+        if held is not None and held.__dict__.get("key") != keep:
+            held.__dict__.update(key=None, value=None)
         out: list[tuple] = []
         for row in each(rows_of(batches)):
             out.append(row)

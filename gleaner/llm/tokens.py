@@ -30,10 +30,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import LongType
 
-from .common import CACHE, column_type, map_rows, per_worker
+from .common import column_type, map_rows, per_worker
 
 LIMIT = 1_024
 LONGEST = 64  # characters of a unit that is remembered
+UNITS, PAIRS = 300_000, 150_000  # units and pairs of tokens remembered by a worker, some 100 bytes and 200 bytes each
 STEP = "<i2"  # a step: a token has at most 128 bytes, so a count moves by fewer
 
 # The vocabulary's own splitting rule (a fixed value), written out for characters up to U+017F; blanks are left to what follows.
@@ -124,7 +125,7 @@ class MergeRules:
                 pair = last[before], token
                 known = fits.get(pair)
                 if known is None:
-                    if len(fits) >= CACHE:
+                    if len(fits) >= PAIRS:
                         fits.clear()
                     known = fits[pair] = self._apart(*pair)
                 if not known:
@@ -173,7 +174,7 @@ class PrefixSteps(dict):
                 counts[blanks + 2] = before + 1 + self._counts(rest[1])[-1]
         steps = array("h", [b - a for a, b in zip(counts, counts[1:])]).tobytes()
         if len(unit) <= LONGEST:
-            if len(self) >= CACHE:
+            if len(self) >= UNITS:
                 self.clear()
             self[unit] = steps
         return steps
@@ -218,17 +219,17 @@ def prefix_tables(docs: DataFrame, id_col: str, text_col: str, vocabulary: str)
     is a byte-level ``.json`` file with the splitting rule above, read where the tasks run. Null and empty texts have no
     tokens. Rows repeat as they come; an empty table gives no rows. One pass, nothing is exchanged.
     """
-    kind = column_type(docs, id_col)
+    kind, key_ = column_type(docs, id_col), ("prefix steps", vocabulary)
 
     def each(rows: Iterable[tuple]) -> Iterator[tuple]:
-        known = per_worker(("prefix steps", vocabulary), lambda: PrefixSteps(vocabulary))
+        known = per_worker(key_, lambda: PrefixSteps(vocabulary))
         for key, text in rows:
             steps = known.of(text)
             yield key, len(text.encode("utf-8", "replace")), len(text), int(steps.sum(dtype=np.int64)), steps.tobytes()
 
     picked = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"))
     schema = f"id {kind}, n_bytes bigint, n_chars bigint, n_tokens bigint, steps binary"
-    return map_rows(picked, schema, each, flush=128)
+    return map_rows(picked, schema, each, flush=128, keep=key_)
 
 
 def _counts_of(steps: pa.Scalar) -> np.ndarray:

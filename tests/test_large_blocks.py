@@ -41,7 +41,6 @@ def test_nearest_of_blocks(monkeypatch, metric, na, nb, k):
     monkeypatch.setattr(tiles, "BLOCK_ROWS", 8)
     rng = np.random.default_rng(na)
     x = rng.integers(0, 4, (na + nb, 6)).astype(float)  # many equal distances
-    x[3] = np.nan
     t = pd.DataFrame(x, columns=[f"x{i}" for i in range(6)]).assign(_id=rng.permutation(na + nb))
     with np.errstate(all="ignore"):
         d = np.array([[tiles.exact_distance(u[None], v[None], metric)[0] for v in x] for u in x])
@@ -58,6 +57,12 @@ def test_nearest_of_blocks(monkeypatch, metric, na, nb, k):
     assert set(zip(got["src"], got["dst"])) == brute(range(na), range(na, na + nb)) | brute(range(na, na + nb), range(na))
     got = neighbours._nearest_of_blocks(t, t, 6, k, metric, True)
     assert set(zip(got["src"], got["dst"])) == brute(range(na + nb), range(na + nb))
+    t.loc[3, "x2"] = np.nan  # a missing value in the first block: as _nearest
+    for one, other, own in ((t[:na], t[na:], False), (t, t, True)):
+        got = neighbours._nearest_of_blocks(one, other, 6, k, metric, own)
+        sides = [neighbours._nearest(one, other, 6, k, metric, own)] + ([] if own else [neighbours._nearest(other, one, 6, k, metric, False)])
+        want = [s for s in sides if len(s)]
+        assert set(zip(got["src"], got["dst"])) == {(int(r.src), int(r.dst)) for s in want for r in s.itertuples()}
 
 
 @pytest.mark.parametrize("kernel", ["rbf", "laplacian", "poly", "sigmoid"])

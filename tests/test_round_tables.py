@@ -26,6 +26,6 @@ def test_affinity_propagation_keeps_the_tables_of_one_round(spark):
 
 def test_dropped_tables_are_gone_and_others_stay(spark):
     a, b = session.cut(spark.range(3).toDF("v")), session.cut(spark.range(4).toDF("v"))
-    paths = [session._written[t] for t in (a, b)]
+    paths = [t._written for t in (a, b)]
     session.drop(a, spark.range(2))
     assert not os.path.exists(paths[0].removeprefix("file:")) and b.count() == 4
